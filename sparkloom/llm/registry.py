@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import line_dedup, mixing
+from sparkloom.llm import line_dedup, mixing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_warc": warc.op4_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_mixture": mixing.op9_mixture,
     }
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_mixture": mixing.SQL,
     }
