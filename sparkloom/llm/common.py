@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def travels(module: str) -> None:
+    """Send what ``module`` defines to executors by value: they need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

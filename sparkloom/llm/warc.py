@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import read_table, shared_dir, written
+from sparkloom.llm.common import read_table, shared_dir, travels, written
+
+travels(__name__)
 
 CRLF = "\r\n"
 END = CRLF + CRLF
