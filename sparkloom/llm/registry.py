@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, line_dedup, mixing, warc
+from sparkloom.llm import decontam, langid, line_dedup, mixing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_warc": warc.op4_warc,
+        "op5_decontaminate": decontam.op5_decontaminate,
         "op6_langid": langid.op6_langid,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_mixture": mixing.op9_mixture,
