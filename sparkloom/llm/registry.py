@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, decontam, langid, line_dedup, mixing, simhash, warc
+from sparkloom.llm import ann, decontam, langid, line_dedup, mixing, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_langid": langid.op6_langid,
+        "op7_sharding": sharding.op7_sharding,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_mixture": mixing.op9_mixture,
     }
