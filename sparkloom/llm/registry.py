@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, decontam, langid, line_dedup, mixing, sharding, simhash, warc
+from sparkloom.llm import ann, decontam, html_extract, langid, line_dedup, mixing, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.op1_ann,
+        "op2_html": html_extract.op2_html,
         "op3_simhash": simhash.op3_simhash,
         "op4_warc": warc.op4_warc,
         "op5_decontaminate": decontam.op5_decontaminate,
