@@ -24,11 +24,14 @@ from sparkloom.llm.common import read_table, written
 class Spread:
     """min_sites: distinct sites from which a line is boilerplate. lg_k: the sketch
     has 2 ** lg_k registers, a relative error of 1.04 / sqrt(2 ** lg_k). band: the
-    errors around the threshold within which lines are counted exactly."""
+    errors around the threshold within which lines are counted exactly. max_listed:
+    up to so many boilerplate hashes become a set inside the expression, and texts
+    are not shuffled; beyond, hits are joined to the texts. Both give the same."""
 
     min_sites: int = 5
     lg_k: int = 10
     band: float = 6.0
+    max_listed: int = 50_000
 
     def bounds(self) -> tuple[float, float]:
         error = self.band * 1.04 / 2 ** (self.lg_k / 2)
@@ -65,16 +68,26 @@ def remove_boilerplate(docs: DataFrame, spread: Spread | None = None, text: str
     base = docs.withColumn("_ld_text", F.col(text)).withColumn("_ld_site", F.col(site).cast("string")).withColumn("_ld_id", F.xxhash64("_ld_text"))
     lines = _lines(base, "_ld_site")
     bad = written(boilerplate_hashes(lines, spread), "line-bad")
-    hits = _lines(base, "_ld_id").join(bad, "_ld_h", "left_semi")
-    hits = written(hits.groupBy("_ld_id").agg(F.collect_set("_ld_at").alias("_ld_hit")), "line-hits")
-    base = base.join(hits, "_ld_id", "left")
-    parts = F.split(F.col("_ld_text"), "\n", -1)
-    at = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_ld_hit"))
-    kept = F.when(F.col("_ld_hit").isNull(), F.col("_ld_text")).otherwise(F.array_join(F.transform(at, lambda i: F.get(F.col("_ld_parts"), i)), "\n"))
-    out = base.withColumn("_ld_parts", parts).withColumn(text, kept)
+    base = base.withColumn("_ld_parts", F.split(F.col("_ld_text"), "\n", -1))
+    known = bad.limit(spread.max_listed + 1).count() <= spread.max_listed
+    if known:
+        listed = [r[0] for r in bad.collect()]
+        own = F.transform("_ld_parts", lambda x: (F.length(F.trim(x, F.lit(" \t\r"))) > 0) & F.xxhash64(F.trim(x, F.lit(" \t\r"))).isin(listed)) if listed else F.transform("_ld_parts", lambda x: F.lit(False))
+        base = base.withColumn("_ld_gone", own)
+        kept = F.array_join(F.filter("_ld_parts", lambda x, i: ~F.get("_ld_gone", i)), "\n")
+        out = base.withColumn(text, F.when(F.exists("_ld_gone", lambda x: x), kept).otherwise(F.col("_ld_text")))
+        removed = F.size(F.filter("_ld_gone", lambda x: x))
+    else:
+        hits = _lines(base, "_ld_id").join(bad, "_ld_h", "left_semi")
+        hits = written(hits.groupBy("_ld_id").agg(F.collect_set("_ld_at").alias("_ld_gone")), "line-hits")
+        base = base.join(hits.hint("shuffle_hash"), "_ld_id", "left")
+        at = F.array_except(F.sequence(F.lit(0), F.size("_ld_parts") - 1), F.col("_ld_gone"))
+        kept = F.array_join(F.transform(at, lambda i: F.get(F.col("_ld_parts"), i)), "\n")
+        out = base.withColumn(text, F.when(F.col("_ld_gone").isNull(), F.col("_ld_text")).otherwise(kept))
+        removed = F.size("_ld_gone")
     n = F.when(F.col("_ld_text").isNull(), F.lit(0)).otherwise(F.size("_ld_parts")).cast("long")
-    out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("_ld_hit"), F.lit(0)).cast("long"))
-    return out.drop("_ld_text", "_ld_site", "_ld_id", "_ld_hit", "_ld_parts")
+    out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(removed, F.lit(0)).cast("long"))
+    return out.drop("_ld_text", "_ld_site", "_ld_id", "_ld_gone", "_ld_parts")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
