@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, decontam, html_extract, langid, line_dedup, mixing, sharding, simhash, warc
+from sparkloom.llm import ann, decontam, html_extract, langid, line_dedup, mixing, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": sharding.op7_sharding,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_mixture": mixing.op9_mixture,
+        "op10_repeats": suffix_dedup.op10_repeats,
     }
 
 
