@@ -101,23 +101,23 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return per.select("source", "source_size", "schedule", F.least("_bound", F.col("_level") * F.col("_w")).alias("target"))
 
 
-def plan_mixture(docs: DataFrame, mix: Mix | None = None, text: str = "text") -> DataFrame:
+def plan_mixture(docs: DataFrame, mix: Mix | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """What the mix takes of every document, and when.
 
-    Returns doc_id, source, size, source_size, target, taken and positions, the
+    Returns the key, source, size, source_size, target, taken and positions, the
     training position (0..1) at which each pass over the document starts. A source
-    is read in the order of a hash of doc_id, again from its start if its target
+    is read in the order of a hash of the key, again from its start if its target
     exceeds its size, and the last document taken is cut at the target.
     """
     mix = mix or Mix()
-    narrow = docs.select("doc_id", "source", tokens(text).alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("_h"))
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, so that one exchange serves window and join
-    narrow = written(narrow.withColumn("_k", key).withColumn("_b", F.substring("_h", 1, mix.digits)), "mix")
-    targets = source_targets(narrow, mix).withColumn("_k", key).drop("source")
+    narrow = docs.select(F.col(key).alias("_id"), "source", tokens(text).alias("size"), F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("_h"))
+    own = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, so that one exchange serves window and join
+    narrow = written(narrow.withColumn("_k", own).withColumn("_b", F.substring("_h", 1, mix.digits)), "mix")
+    targets = source_targets(narrow, mix).withColumn("_k", own).drop("source")
     cells = narrow.groupBy("_k", "_b").agg(F.sum("size").alias("_cell"))
     ahead = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ahead", F.coalesce(F.sum("_cell").over(ahead), F.lit(0))).drop("_cell").join(targets, "_k")
-    inside = Window.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_k", "_b").orderBy("_h", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = narrow.withColumn("_own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["_k", "_b"])
     rows = rows.withColumn("_before", F.col("_ahead") + F.col("_own"))
     rows = rows.withColumn("_cut", F.floor("target").cast("long"))
@@ -128,7 +128,7 @@ def plan_mixture(docs: DataFrame, mix: Mix | None = None, text: str = "text") ->
         share = at.cast("double") / F.col("target")
         starts.append(F.when((F.col("_cut") > at) & (F.col("size") > 0), _pick(mix.schedules, lambda s, share=share: s.time_of(share))))
     rows = rows.withColumn("taken", taken).withColumn("positions", F.array_compact(F.array(*starts)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+    return rows.select(F.col("_id").alias(key), "source", "size", "source_size", "target", "taken", "positions")
 
 
 def training_order(plan: DataFrame) -> DataFrame:
