@@ -283,7 +283,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "bdb1_filter": (bdb1, "SELECT user_id, event_id FROM events WHERE user_id > 88"),
     "bdb2_sum": (bdb2, f"SELECT user_id, sum({CENTS.format('value')})::BIGINT AS total FROM events GROUP BY user_id"),
     "bdb3_join_sum": (bdb3, SUM_AVG.format(c=PRICE, o="p_size", t=VISITS)),
-    "x_event_stream": (st_events, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, sum({CENTS.format('value')})::BIGINT AS cents FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"),
+    "x_event_stream": (st_events, f"SELECT epoch(h)::BIGINT AS hour, event_type, count(*) AS n, sum({CENTS.format('value')})::BIGINT AS cents FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY h, event_type"),
 }
 
 

@@ -70,7 +70,7 @@ def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Lines are told apart by their place in the one file, so the file is read as one
     split; tables of any size belong in Parquet.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
     head = lines.where("at = 0").first()
     sizes = re.fullmatch(r"\s*(\d+)\s+(\d+)\s*", head["line"] if head else "")
     if not sizes:
