@@ -43,11 +43,11 @@ class Alignment:
     items' words that are held at once."""
 
     n: int = 3
-    rare: float = 0.5
+    rare: float = 0.75
     match: int = 2
     mismatch: int = -1
     gap: int = -1
-    least: float = 0.5
+    least: float = 0.4
     block_words: int = 1_000_000
 
 

@@ -130,7 +130,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the fingerprints that share a variant of this bucket."""
+    """(child, root): a spanning forest of the fingerprints that share variants of this bucket, each with its tree's root."""
     values = np.unique(values)
     extra = 0
     whole = len(Dealing(spec.radius, 0, spec.seed).masks)
@@ -178,7 +178,12 @@ def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> t
 
 
 def links(values: DataFrame, spec: SimHash, column: str = "fingerprint") -> DataFrame:
-    """(a, b): linked fingerprints whose components are those of all links; values: distinct fingerprints."""
+    """Edges (a, b) whose components are those of all links; values: distinct fingerprints.
+
+    Each bucket gives a spanning forest of what is linked within it, each fingerprint
+    with its tree's smallest place, so that a large group gives no more edges than
+    it has members; an edge's two need not be linked directly.
+    """
     bits = deal_bits(values.count(), spec)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
