@@ -29,12 +29,14 @@ from sparkloom.llm.common import read_table, written
 class Shards:
     """count: shards. rounds: of propagation, at most. grain: a link larger than a
     shard's capacity / grain is cut into parts of about that size. cells: hash cells,
-    within each of which running sums and slots are worked out by a task of its own."""
+    within each of which running sums and slots are worked out by a task of its own.
+    cell_rows: rows from which a link is dealt over cells of its own."""
 
     count: int = 8
     rounds: int = 5
     grain: int = 16
     cells: int = 1024
+    cell_rows: int = 256
 
 
 def _best(k: int, salt: Column) -> Column:
@@ -95,6 +97,21 @@ def _running(rows: DataFrame, by: list[str], order: list[str], value: Column, ce
     return inside.join(sums, [*by, "_cell"]).withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside")
 
 
+def _filled(rows: DataFrame, needs: list[float], spec: Shards) -> DataFrame | None:
+    """``rows`` dealt to shards in proportion to their needs: a row goes where the middle of its stretch of the running sum falls."""
+    amount, lacking = rows.agg(F.sum("size")).first()[0], sum(needs)
+    if amount is None:
+        return None
+    shares = [n / lacking for n in needs] if lacking else [1 / spec.count] * spec.count
+    rows = _running(rows.withColumn("_one", F.lit(1)), ["_one"], ["link", "node"], F.col("size"), spec.cells, "_before")
+    middle, edge, to = F.col("_before") + F.col("size") / 2, float(amount), None
+    for i in reversed(range(spec.count)):
+        if shares[i] or to is None and i == 0:
+            to = F.lit(i) if to is None else F.when(middle < F.lit(edge), F.lit(i)).otherwise(to)
+        edge -= shares[i] * amount
+    return written(rows.withColumn("shard", to.cast("int")).drop("_before", "_cell", "_one"), "shard-filled")
+
+
 def assign_shards(docs: DataFrame, spec: Shards | None = None, key: str = "doc_id", text: str = "text", link: Column | None = None) -> DataFrame:
     """(key, size, text_crc32, link, shard, slot) of every row, sizes near equal; link: by
     default a hash of the text, so that documents of equal text are linked."""
@@ -106,37 +123,44 @@ def assign_shards(docs: DataFrame, spec: Shards | None = None, key: str = "doc_i
     # Equal rows are told apart by nothing: they are one node that is as large as all of them, with n copies.
     rows = rows.withColumn("node", F.xxhash64(F.coalesce(F.col("_key").cast("string"), F.lit("")), "size", "text_crc32", "link"))
     rows = written(rows, "shard-rows")
-    several = written(rows.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link"), "shard-several")
-    tied = written(rows.join(several, "link", "left_semi").groupBy("node", "link").agg(F.sum("size").alias("size")), "shard-tied")
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    cell_rows = max(spec.cell_rows, n // 65_536)  # so that cells stay few beside rows
+    several = written(rows.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shard-several")
+    # Running sums go through hash cells of links; a link with many rows has sub-cells of its own, in which its nodes follow each other.
+    large = written(several.where(F.col("_n") > cell_rows).select("link", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_subs")), "shard-large")
+
+    def with_cells(some: DataFrame) -> DataFrame:
+        sub = F.pmod(F.xxhash64("node", F.lit("cell")), F.coalesce("_subs", F.lit(1))).cast("int")
+        cell = F.pmod(F.xxhash64("link"), F.lit(spec.cells)).cast("int")
+        return some.join(large, "link", "left").withColumn("_cell", F.struct(cell.alias("c"), sub.alias("s"))).drop("_subs")
+
+    tied = written(rows.join(several.select("link"), "link", "left_semi").groupBy("node", "link").agg(F.sum("size").alias("size")), "shard-tied")
     nodes = tied.select("node", "size", F.pmod(F.xxhash64("node", F.lit("start")), F.lit(k)).cast("int").alias("shard"))
-    total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     room = total / k
     placed = propagate(nodes, tied.select("node", "link"), room, spec) if total else nodes.select("node", "shard")
     placed = written(tied.join(placed, "node").select("node", "size", "link", "shard"), "shard-placed")
 
     # What exceeds a shard's room is released, whole links at a time as far as they fit; it and the unlinked rows fill up.
-    placed = placed.withColumn("_cell", F.pmod(F.xxhash64("link"), F.lit(spec.cells)).cast("int"))
-    placed = _running(placed, ["shard"], ["link", "node"], F.col("size"), spec.cells, "_before")
+    placed = _running(with_cells(placed), ["shard"], ["link", "node"], F.col("size"), spec.cells, "_before")
     fixed = written(placed.where(F.col("_before") + F.col("size") <= room).select("node", "shard", "size"), "shard-fixed")
     filled = {r["shard"]: r["n"] for r in fixed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
     needs = [max(0.0, room - filled.get(i, 0)) for i in range(k)]
     kept = rows.join(fixed.select(F.col("node").alias("_node"), "shard"), F.col("node") == F.col("_node"), "left").drop("_node")
     kept = written(kept, "shard-kept")
     free = kept.where(F.col("shard").isNull()).drop("shard")
-    free = free.withColumn("_cell", F.pmod(F.xxhash64("link"), F.lit(spec.cells)).cast("int")).withColumn("_one", F.lit(1))
-    free = _running(free, ["_one"], ["link", "node"], F.col("size"), spec.cells, "_before")
-    middle, edge, to = F.col("_before") + F.col("size") / 2, 0.0, F.lit(k - 1)
-    edges = []
-    for i in range(k):
-        edge += needs[i]
-        edges.append(edge)
-    scale = sum(needs) or 1.0
-    amount = total - sum(filled.values())
-    for i in reversed(range(k)):
-        to = F.when(middle < F.lit(edges[i] * amount / scale), F.lit(i)).otherwise(to) if needs[i] or i == 0 else to
-    free = free.withColumn("shard", to.cast("int")).drop("_before", "_cell", "_one")
+    parts = [kept.where(F.col("shard").isNotNull())]
+    # Large rows first, in proportion to what each shard lacks; small ones then make up the differences.
+    for some in (free.where(F.col("size") > room / 256), free.where(F.col("size") <= room / 256)):
+        filled = _filled(with_cells(some), needs, spec)
+        if filled is not None:
+            parts.append(filled)
+            for r in filled.groupBy("shard").agg(F.sum("size").alias("n")).collect():
+                needs[r["shard"]] = max(0.0, needs[r["shard"]] - r["n"])
     cells = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(spec.cells)).cast("int")
-    out = written(kept.where(F.col("shard").isNotNull()).unionByName(free), "shard-all").withColumn("_cell", cells).withColumn("_row", F.lit(1).cast("long"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = written(out, "shard-all").withColumn("_cell", cells).withColumn("_row", F.lit(1).cast("long"))
     out = _running(out, ["shard"], ["_key", "node"], F.col("_row"), spec.cells, "slot")
     return out.select(F.col("_key").alias(key), "size", "text_crc32", "link", "shard", F.col("slot").cast("long").alias("slot"))
 
