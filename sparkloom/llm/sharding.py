@@ -27,16 +27,18 @@ from sparkloom.llm.common import read_table, written
 
 @dataclass(frozen=True)
 class Shards:
-    """count: shards. rounds: of propagation, at most. grain: a link larger than a
+    """count: shards. rounds: of propagation, at most. slack: share
+    of its room by which moves may overfill a shard, until it is evened out at the end. grain: a link larger than a
     shard's capacity / grain is cut into parts of about that size. cells: hash cells,
     within each of which running sums and slots are worked out by a task of its own.
     cell_rows: rows from which a link is dealt over cells of its own."""
 
     count: int = 8
     rounds: int = 5
+    slack: float = 0.25
     grain: int = 16
     cells: int = 1024
-    cell_rows: int = 256
+    cell_rows: int = 64
 
 
 def _best(k: int, salt: Column) -> Column:
@@ -70,13 +72,18 @@ def propagate(nodes: DataFrame, links: DataFrame, room: float, spec: Shards) ->
         wanted = seen.select("node", "link", _best(k, F.col("link")).alias("to"))
         asked = written(state.join(wanted, "node"), "shard-asked")
         flows = asked.groupBy("shard", "to").agg(F.sum("size").alias("n")).collect()
-        load, into = [0] * k, [0] * k
+        load, into, flow = [0] * k, [0] * k, [[0] * k for _ in range(k)]
         for f in flows:
             load[f["shard"]] += f["n"]
-            into[f["to"]] += f["n"] * (f["shard"] != f["to"])
+            if f["shard"] != f["to"]:
+                into[f["to"]] += f["n"]
+                flow[f["shard"]][f["to"]] = f["n"]
         if not any(into):
             break
-        share = [min(1.0, max(0.0, room - load[i]) / into[i]) if into[i] else 0.0 for i in range(k)]
+        share = [1.0] * k
+        for _ in range(64):  # what leaves a shard makes room in it
+            left = [sum(n * s for n, s in zip(flow[i], share, strict=True)) for i in range(k)]
+            share = [min(1.0, max(0.0, room * (1 + spec.slack) - load[i] + left[i]) / into[i]) if into[i] else 0.0 for i in range(k)]
         granted = F.element_at(F.array(*[F.lit(s) for s in share]), F.col("to") + 1)
         chance = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         state = written(asked.select("node", "size", F.when(chance < granted, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-state")
