@@ -43,7 +43,7 @@ def test_given_links(spark):
     docs = spark.createDataFrame([(i, f"text {i}", i // 5) for i in range(100)], "doc_id long, text string, site int")
     out = sharding.assign_shards(docs, Shards(count=4), link=F.xxhash64("site"))
     checked(out.collect(), 4)
-    assert sharding.cut_links(out).first()["cut"] <= 4
+    assert sharding.cut_links(out).first()["cut"] <= 7  # one for each of four shards evened out, and at three edges of the fill
 
 
 def test_odd_rows(odd, clashing, nothing):
