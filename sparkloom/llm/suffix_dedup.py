@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,17 @@ PACKET = "kind int, target int, packed binary"
 @dataclass(frozen=True)
 class Repeats:
     """length: of the strings, in bytes. gram: bytes of an anchor. task_mb: text that a
-    task takes at a time. anchor_mb: text whose stretches make up one bucket of anchors.
+    task takes at a time; cut_mb: text that is cut into stretches at a time. anchor_mb: text whose stretches make up one bucket of anchors.
     stretches: of one anchor, up to which they are sorted together. batch_mb: text
     that is sorted in lock step."""
 
     length: int = 50
     gram: int = 16
     task_mb: int = 12
-    anchor_mb: int = 48
-    stretches: int = 256
-    batch_mb: float = 4.0
+    cut_mb: float = 2.0
+    anchor_mb: int = 32
+    stretches: int = 64
+    batch_mb: float = 1.5
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,23 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 8,), np.uint64, data.data, strides=(1,)).copy()
 
 
+_KEPT_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a fixed odd number and of its inverse, modulo 2 ** 64; kept up to a bound."""
+    if _KEPT_POWERS and len(_KEPT_POWERS[0]) >= n:
+        return _KEPT_POWERS[0][:n], _KEPT_POWERS[1][:n]
+    out = []
+    for base in (0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 2**64)):
+        p = np.full(n, np.uint64(base))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if n <= 1 << 23:
+        _KEPT_POWERS[:] = out
+    return out[0], out[1]
+
+
 def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repeats) -> dict[str, np.ndarray]:
     """The stretches of documents that lie one after another in ``data``: doc, low
     (first string's place in the document), count (strings), shift (the anchor's place
@@ -112,13 +131,7 @@ def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repea
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     low, doc, place = at[first], doc[first], place[first]
-    base = np.uint64(0xD1342543DE82EF95)
-    powers = np.full(n + 1, base)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    back = np.full(n + 1, np.uint64(pow(int(base), -1, 2**64)))
-    back[0] = 1
-    back = np.multiply.accumulate(back)
+    powers, back = _powers(n + 1)
     sums = np.zeros(n + 2, np.uint64)
     np.cumsum(parts[: n + 1] * powers, out=sums[1:])
     end = low + count + spec.length - 8  # places of 8 bytes that lie within the stretch
@@ -128,23 +141,29 @@ def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repea
     return {"doc": doc, "low": low - start[doc], "count": count, "shift": shift, "anchor": hashes[place], "content": content, "at": low}
 
 
-RECORD = [("anchor", "<u8"), ("content", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<i8"), ("count", "u1"), ("shift", "u1")]
-PLACES = {SETTLED: [("row", "<i8"), ("low", "<i8"), ("mask", "<u8")], STRETCH: RECORD, ASK: RECORD, ASK_EACH: RECORD, SINGLE: [("key", "<u8"), ("key2", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<i8")]}
+#: An anchor is its bucket, which a packet is sent to, and 32 more bits; in what is asked of documents the bucket goes along.
+RECORD = [("anchor", "<u4"), ("content", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("count", "u1"), ("shift", "u1")]
+ASKED = [*RECORD, ("bucket", "<i4")]
+PLACES = {SETTLED: [("row", "<i8"), ("low", "<u4"), ("mask", "<u8")], STRETCH: RECORD, ASK: ASKED, ASK_EACH: ASKED, SINGLE: [("key", "<u8"), ("key2", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4")]}
 
 
-def _pack(kind: int, columns: dict[str, np.ndarray]) -> bytes:
-    """Columns one after another, as they compress better than rows."""
+def _pack(kind: int, columns: dict[str, np.ndarray], more: bytes = b"") -> bytes:
+    """Columns one after another, which compress better than rows do."""
     n = len(next(iter(columns.values())))
-    return np.int64(n).tobytes() + b"".join(columns[name].astype(t).tobytes() for name, t in PLACES[kind])
+    return zstandard.ZstdCompressor(1).compress(np.int64(n).tobytes() + b"".join(columns[name].astype(t).tobytes() for name, t in PLACES[kind]) + more)
 
 
-def _unpack(kind: int, packets: list[bytes]) -> dict[str, np.ndarray]:
+def _unpack(kind: int, packets: list[bytes], more: list | None = None) -> dict[str, np.ndarray]:
+    """The columns of all packets together; ``more`` gets what follows them in each."""
     pieces: dict[str, list[np.ndarray]] = {name: [] for name, _ in PLACES[kind]}
     for packet in packets:
+        packet = zstandard.ZstdDecompressor().decompress(packet)
         n, at = int(np.frombuffer(packet, np.int64, 1)[0]), 8
         for name, t in PLACES[kind]:
             pieces[name].append(np.frombuffer(packet, t, n, at))
             at += n * np.dtype(t).itemsize
+        if more is not None:
+            more.append(np.frombuffer(packet, np.uint8, offset=at))
     return {name: np.concatenate(p) if p else np.zeros(0, t) for (name, t), p in zip(PLACES[kind], pieces.values(), strict=True)}
 
 
@@ -164,7 +183,8 @@ def _batch(packets: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _part(row: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(row.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    """The task that a row belongs to, as pmod() has it."""
+    return row % parts
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -182,10 +202,12 @@ def _all(count: np.ndarray) -> np.ndarray:
 
 
 def _settle(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): records by anchor, content and id; first[i] is the place in that order of the smallest id's first record with i's content."""
-    order = np.lexsort((r["low"], r["row"], r["id"], r["content"], r["anchor"]))
+    """(order, later): records by anchor and content, and whether a smaller id has the content, in that order."""
+    order = np.lexsort((r["content"], r["anchor"]))
     start = _runs(r["anchor"][order], r["content"][order])
-    return order, np.repeat(start, np.diff(np.append(start, len(order))))
+    ids = r["id"][order]
+    least = np.minimum.reduceat(ids, start) if len(ids) else ids
+    return order, ids > np.repeat(least, np.diff(np.append(start, len(order))))
 
 
 def _settled(r: dict[str, np.ndarray], some: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
@@ -217,17 +239,19 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nd
 
 def _cut(spec: Repeats, buckets: int, parts: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, start, size, row, ids in _texts(batches, spec.task_mb << 20):
+        for data, start, size, row, ids in _texts(batches, int(spec.cut_mb * (1 << 20))):
             r = stretches(data, start, size, spec)
             r["row"], r["id"] = row[r["doc"]], ids[r["doc"]]
-            order, first = _settle(r)
-            later = order[r["id"][order] > r["id"][order[first]]]
+            order, later = _settle(r)
+            later = order[later]
             packets = list(_settled(r, later, parts))
             kept = np.ones(len(order), bool)
             kept[later] = False
             keep = np.flatnonzero(kept)
             r = {k: r[k][keep] for k, _ in RECORD}
-            packets += _dealt(STRETCH, (r["anchor"] % np.uint64(buckets)).astype(np.int64), r)
+            target = (r["anchor"] % np.uint64(buckets)).astype(np.int64)
+            r["anchor"] = r["anchor"] >> np.uint64(32)
+            packets += _dealt(STRETCH, target, r)
             if packets:
                 yield _batch(packets)
 
@@ -244,9 +268,8 @@ def _meet(spec: Repeats, parts: int):
         if kind == SETTLED:
             return table.select(["kind", "target", "packed"])
         r = _unpack(kind, _packets(table))
-        order, first = _settle(r)
-        lead = order[first]
-        later = r["id"][order] > r["id"][lead]
+        r["bucket"] = np.full(len(r["row"]), target)
+        order, later = _settle(r)
         out = list(_settled(r, order[later], parts))
         # What is left of each content stands in the smallest document; one of its places is asked for, and all of them if there are several.
         left = order[~later]
@@ -260,7 +283,7 @@ def _meet(spec: Repeats, parts: int):
         several &= different > 1
         for way, chosen in ((ASK, several & (size <= spec.stretches)), (ASK_EACH, several & (size > spec.stretches))):
             some = left[np.repeat(chosen, size)]
-            out += _dealt(way, _part(r["row"][some], parts), {k: r[k][some] for k, _ in RECORD})
+            out += _dealt(way, _part(r["row"][some], parts), {k: r[k][some] for k, _ in ASKED})
         return pa.Table.from_batches([_batch(out)])
 
     return meet
@@ -295,8 +318,8 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
             r = wanted[ASK]
             ok, at = _asked_places(r, row, start)
             if len(ok):
-                r = {k: r[k][ok] for k, _ in RECORD}
-                target = (r["anchor"] % np.uint64(buckets)).astype(np.int64)
+                r = {k: r[k][ok] for k, _ in ASKED}
+                target = r["bucket"]
                 order = np.argsort(target, kind="stable")
                 edges = np.flatnonzero(np.diff(target[order], prepend=-1))
                 for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
@@ -304,7 +327,7 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
                     width = r["count"][some].astype(np.int64) + spec.length - 1
                     ends = np.cumsum(width)
                     text = data[np.arange(ends[-1]) + np.repeat(at[some] - (ends - width), width)]
-                    out.append((TEXT, int(target[some[0]]), _pack(STRETCH, {k: v[some] for k, v in r.items()}) + text.tobytes()))
+                    out.append((TEXT, int(target[some[0]]), _pack(STRETCH, {k: v[some] for k, v in r.items()}, text.tobytes())))
             r = wanted[ASK_EACH]
             ok, at = _asked_places(r, row, start)
             if len(ok):
@@ -344,8 +367,13 @@ def sorted_repeats(r: dict[str, np.ndarray], text: np.ndarray, spec: Repeats) ->
     order = np.lexsort((r["low"], r["row"], r["id"], r["anchor"]))
     mask = np.zeros(len(order), np.uint64)
     lanes = _runs(r["anchor"][order])
+    long = np.add.reduceat(width[order] + 1, lanes) if len(lanes) else lanes
+    sizes = np.diff(np.append(lanes, len(order)))
+    by = np.argsort(long, kind="stable")  # texts of like length take like many steps
+    order = order[np.repeat(lanes[by] - (np.cumsum(sizes[by]) - sizes[by]), sizes[by]) + np.arange(len(order))]
+    lanes = np.cumsum(sizes[by]) - sizes[by]
     edges = np.append(lanes, len(order))
-    cost = np.append(0, np.cumsum(width[order] + 1))[edges]
+    cost = np.append(0, np.cumsum(long[by]))
     a = 0
     while a < len(lanes):
         b = max(a + 1, int(np.searchsorted(cost, cost[a] + spec.batch_mb * (1 << 20), side="right")) - 1)
@@ -391,9 +419,8 @@ def _sort(spec: Repeats, parts: int):
             s = _unpack(SINGLE, packets)
             later, _ = _single(s)
             return pa.Table.from_batches([_batch(list(_dealt(SETTLED, _part(s["row"][later], parts), {"row": s["row"][later], "low": s["low"][later], "mask": np.ones(len(later), np.uint64)})))])
-        row = sum(np.dtype(t).itemsize for _, t in RECORD)
-        texts = [np.frombuffer(p, np.uint8, offset=8 + row * int(np.frombuffer(p, np.int64, 1)[0])) for p in packets]
-        r = _unpack(STRETCH, packets)
+        texts: list[np.ndarray] = []
+        r = _unpack(STRETCH, packets, texts)
         mask = sorted_repeats(r, np.concatenate(texts), spec)
         some = np.flatnonzero(mask)
         return pa.Table.from_batches([_batch(list(_dealt(SETTLED, _part(r["row"][some], parts), {"row": r["row"][some], "low": r["low"][some], "mask": mask[some]})))])
@@ -403,12 +430,11 @@ def _sort(spec: Repeats, parts: int):
 
 def removed_bytes(size: int, low: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
     """Which bytes of a document lie in its settled strings."""
-    edge = np.zeros(size + 1, np.int64)
-    for k in range(int(mask.max()).bit_length() if len(mask) else 0):
-        at = low[(mask >> np.uint64(k)) & np.uint64(1) == 1] + k
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
-    return np.cumsum(edge[:size]) > 0
+    which, bit = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64))
+    begun = np.zeros(size + length, np.int32)
+    begun[low[which].astype(np.int64) + bit + length] = 1
+    np.cumsum(begun, out=begun)
+    return begun[length:] > begun[:size]
 
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_sha256 string"
@@ -423,7 +449,7 @@ def _clean(spec: Repeats):
         for text, row, own in zip(docs.column("text"), docs.column("row").to_pylist(), docs.column("id").to_pylist(), strict=True):
             data = np.frombuffer(text.as_py() or b"", np.uint8)
             a, b = np.searchsorted(s["row"], row), np.searchsorted(s["row"], row, side="right")
-            gone = removed_bytes(len(data), s["low"][a:b], s["mask"][a:b], spec.length)
+            gone = removed_bytes(len(data), s["low"][a:b], s["mask"][a:b], spec.length) if b > a else np.zeros(len(data), bool)
             edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
             out["id"].append(None if own == LAST else own)
             out["n_bytes"].append(len(data))
@@ -448,17 +474,9 @@ def repeated_text(docs: DataFrame, spec: Repeats | None = None, key: str = "doc_
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     parts, buckets = 1 + total // (spec.task_mb << 20), max(16, 1 + total // (spec.anchor_mb << 20))
 
-    # _part's hash in Spark's terms isn't needed: rows and packets take their numbers from the same Python function.
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                part = _part(some.column("row").to_numpy().copy(), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *some.columns], names=["target", "id", "text", "row"])
-
     cut = base.mapInArrow(_cut(spec, buckets, parts), PACKET)
     met = written(cut.groupBy("kind", "target").applyInArrow(_meet(spec, parts), PACKET), "repeats-met")
-    rows = base.mapInArrow(numbered, "target int, id long, text binary, row long")
+    rows = base.withColumn("target", F.pmod("row", F.lit(parts)).cast("int"))
     asked = met.where(F.col("kind").isin(ASK, ASK_EACH))
     got = rows.groupBy("target").cogroup(asked.groupBy("target")).applyInArrow(_fetch(spec, buckets, parts), PACKET)
     sorted_ = written(got.groupBy("kind", "target").applyInArrow(_sort(spec, parts), PACKET), "repeats-sorted")
