@@ -39,17 +39,21 @@ class Lists:
     hash order of the ids). replicate: a vector goes to all lists whose centroids
     are at most this times as far as the nearest, up to ``copies``. probe: a search
     takes the lists whose centroids are at most this times as far as the nearest.
-    beam: candidates kept in a search of the graph; degree: of the graph. block:
+    beam: candidates kept in a search of the graph, for a
+    query at least beam_share of all lists, so that recall doesn't fall as lists grow
+    in number: in data without clusters the nearest are spread over a share of the
+    lists that doesn't shrink. degree: of the graph. block:
     rows of a list, or queries of it, that meet in one task."""
 
     list_size: int = 128
     max_lists: int = 4096
     sample_rows: int = 65_536
     sample_mb: int = 64
-    replicate: float = 1.15
-    copies: int = 6
-    probe: float = 1.3
+    replicate: float = 1.1
+    copies: int = 4
+    probe: float = 1.4
     beam: int = 64
+    beam_share: float = 0.16
     degree: int = 24
     block: int = 4096
     rounds: int = 6
@@ -182,15 +186,15 @@ def fit(vectors: DataFrame, n: int, dim: int, spec: Lists) -> Graph:
     return Graph(c, *centroid_graph(c, spec.degree))
 
 
-def _listed(rows: DataFrame, graph: Graph, spec: Lists, ratio: float, most: int) -> DataFrame:
-    """``rows``, which have a column _v, once for each list within the ratio."""
+def _listed(rows: DataFrame, graph: Graph, ratio: float, beam: int, most: int) -> DataFrame:
+    """``rows``, which have a column _v, once for each list within the ratio, up to ``most``."""
     schema = rows.select(F.lit(0).alias("_list"), "*").schema
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, far = graph.search(_matrix(batch.column("_v")), spec.beam)
+                ids, far = graph.search(_matrix(batch.column("_v")), beam)
                 ids, far = ids[:, :most], far[:, :most]
                 r, k = np.nonzero((ids >= 0) & (far <= np.maximum(far[:, :1] * ratio, 1e-6)))
                 taken = batch.take(pa.array(r))
@@ -219,9 +223,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, spec: Lists | None
 
     distinct = written(equals(rows.select("_id", "_h", "_v"), k + 1).select("_id", "_ids", "_v"), "distinct")
     graph = fit(distinct, distinct.count(), dim, spec)
-    postings = written(_listed(distinct, graph, spec, spec.replicate, spec.copies), "postings")
+    postings = written(_listed(distinct, graph, spec.replicate, spec.beam, spec.copies), "postings")
     asked = written(equals(rows.where("_q").select("_id", "_h", "_v"), 1).select(F.col("_id").alias("_query"), "_h", "_v"), "asked")
-    probes = written(_listed(asked.select("_query", "_v"), graph, spec, spec.probe, spec.beam), "probes")
+    beam = max(spec.beam, int(np.ceil(spec.beam_share * len(graph.c))))
+    probes = written(_listed(asked.select("_query", "_v"), graph, spec.probe, beam, beam), "probes")
 
     # One row per list, of which there are at most max_lists: small enough to broadcast at any size of the input.
     parts = lambda df, name: df.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / spec.block).cast("int").alias(name))
