@@ -169,6 +169,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f = ["bias", *b.inherited, f"tag:{b.tag}", f"words:{min(8, words.bit_length())}", f"linked:{min(4, int(4 * b.linked / size + 0.5))}"]
         f.append(f"end:{'stop' if b.text[-1] in '.!?…»”"' else 'open'}")
         f += [f"cue:{c.lower()}" for c in set(_CUE.findall(b.text))]
+        if "in:header" in b.inherited and b.inherited.isdisjoint(("in:article", "in:main")):
+            f.append("header of the page")
         if "|" in b.text or "·" in b.text or "»" in b.text:
             f.append("bars")
         if i == 0:
@@ -212,7 +214,7 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Crf:
+def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Crf:
     """Maximum likelihood by Adam; sums over labels by the forward-backward algorithm, for all pages at once."""
     pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     names = {x: i for i, x in enumerate(sorted({x for f, _ in pages for b in f for x in b}))}

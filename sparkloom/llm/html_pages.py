@@ -84,9 +84,9 @@ class Writer:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.text(self.words(1, 4), 1)}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>")
             elif way < 0.92:
                 out.append(f"<figure><img src=x><figcaption>{self.text(self.words(3, 10), 1)}</figcaption></figure>")
-            elif way < 0.95:
+            elif way < 0.94:
                 out.append(f"<div>{self.paragraph(1)}</div>")
-            elif r.random() < 0.9:
+            if r.random() < 0.12:
                 out.append(self.clutter())
         return "".join(out)
 
@@ -144,19 +144,23 @@ class Writer:
         r, out = self.r, []
         hidden = '<script>var t="</p><p>";if(a<b){track(0)}</script>'.replace("{", "(").replace("}", ")")
         if r.random() < 0.75:
-            out.append(self.wrapped(MENUS, self.links) if r.random() < 0.6 else self.wrapped(HEADERS, lambda: self.some("menu") + (self.wrapped(MENUS, self.links) if r.random() < 0.5 else "")))
+            out.append(self.wrapped(MENUS, self.links) if r.random() < 0.6 else self.wrapped(HEADERS, lambda: (f"<h1>{self.text(self.words(1, 3), 0)}</h1>" if r.random() < 0.4 else "") + self.some("menu") + (self.wrapped(MENUS, self.links) if r.random() < 0.5 else "")))
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             out.append(self.clutter())
         if r.random() < 0.25:
             out.append(self.wrapped(SIDEBARS, self.links))
-        inside = r.random() < 0.2
+        inside, alone = r.random() < 0.2, r.random() < 0.1
+        if alone:  # a page that is nothing but its text
+            out, self.labels = [], []
 
         def article() -> str:
             body = self.content()
             return body + (self.comments() if inside else "") + (f"<footer>{self.text(self.cue('footer'), 0)}</footer>" if r.random() < 0.1 else "")
 
-        if r.random() < 0.96:
+        if alone or r.random() < 0.96:
             out.append(self.wrapped(ARTICLES, article))
+        if alone:
+            return self.r.choice(["{}", "<html><body>{}</body></html>"]).format(out[0])
         for _ in range(r.choice([0, 0, 0, 1])):
             out.append(self.clutter())
         if not inside and r.random() < 0.3:
