@@ -166,7 +166,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out, before = [], None
     for i, b in enumerate(blocks):
         words, size = len(_WORD.findall(b.text)), max(1, len(b.text))
-        f = ["bias", *b.inherited, f"tag:{b.tag}", f"words:{min(8, words.bit_length())}", f"linked:{min(4, int(4 * b.linked / size + 0.5))}"]
+        f = ["bias", *b.inherited, f"tag:{b.tag}", f"words:{min(7, words.bit_length())}", f"linked:{min(4, int(4 * b.linked / size + 0.5))}"]
         f.append(f"end:{'stop' if b.text[-1] in '.!?…»”"' else 'open'}")
         f += [f"cue:{c.lower()}" for c in set(_CUE.findall(b.text))]
         if "in:header" in b.inherited and b.inherited.isdisjoint(("in:article", "in:main")):
