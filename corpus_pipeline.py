@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, langid, mixing, sharding, simhash
+from sparkloom.llm import decontam, langid, minhash, mixing, sharding, simhash
 from sparkloom.llm.common import read_table, written
 
 #: Language identification rejects what it doesn't know, or knows with a lower probability.
@@ -34,11 +34,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints over five-word shingles: that with the smallest doc_id."""
+    """One document of each group, that with the smallest doc_id. Documents are linked by SimHash fingerprints over
+    five-word shingles, and, as these miss most pairs with some edits, by a similarity of those shingles of 0.8 or more."""
     rows = _with_row(docs)
-    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.col(ROW).alias("row"))
-    linked = simhash.near_duplicates(rows.withColumn("_pipeline_key", key), simhash.SimHash(words=5), key="_pipeline_key")
-    kept = linked.where(F.col("_pipeline_key") == F.col("component")).groupBy(F.col("_pipeline_key.row").alias(ROW)).agg(F.count(F.lit(1)).alias("_pipeline_n"))
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.col(ROW).alias("row"), F.xxhash64("text").alias("t"))
+    linked = written(simhash.near_duplicates(rows.withColumn("_pipeline_key", key), simhash.SimHash(words=5), key="_pipeline_key"), "pipeline-linked")
+    groups = linked.select("_pipeline_key.t", F.col("component.row").alias("c"))
+    found = minhash.joined(rows.select(F.xxhash64("text").alias("t"), F.col(ROW).alias("r"), "text"), groups)
+    first = linked.where(F.col("_pipeline_key") == F.col("component"))
+    kept = first.groupBy(F.col("_pipeline_key.row").alias(ROW)).agg(F.count(F.lit(1)).alias("_pipeline_n"), F.min("_pipeline_key").alias("_pipeline_key"))
+    merged = written(found.join(kept, found["node"] == kept[ROW]).select("root", "_pipeline_key"), "pipeline-merged")
+    later = merged.join(merged.groupBy("root").agg(F.min("_pipeline_key").alias("_pipeline_first")), "root").where(F.col("_pipeline_key") != F.col("_pipeline_first"))
+    kept = kept.join(later.select(F.col("_pipeline_key.row").alias(ROW)), ROW, "left_anti").select(ROW, "_pipeline_n")
     kept = written(kept, "pipeline-kept")
     out = rows.join(kept.hint("shuffle_hash"), ROW)
     if not kept.where("_pipeline_n > 1").isEmpty():
