@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The document frequency of every n-gram of the test items is counted over all
-documents. Each item's rarer n-grams are its seeds; where a seed occurs in a
-passage, the passage around it is aligned with the item. The best local
-alignment's score, as a share of the score of a perfect copy, decides, so that
-edited and paraphrased copies are found as well as exact ones.
+All n-grams of a test item are its seeds: an edited copy may have kept any of them,
+the frequent ones included. Where a seed occurs in a passage, the passage around it
+is aligned with the item, unless it has too few of the item's words for any
+alignment to reach the score. The best local alignment's score, as a share of the
+score of a perfect copy, decides, so that edited and paraphrased copies are found
+as well as exact ones.
 
 Test items are the bounded side: they are worked through in blocks of at most
-``block_words`` words, each block against all documents. Texts are never
-shuffled; only counts of the items' n-grams are.
+``block_words`` words, each block against all documents. Nothing is shuffled.
 
 Defined cases: null and empty texts have no hits; items that are null or shorter
 than the n-gram have none either; repeated rows are judged alike; equal items
@@ -37,13 +37,11 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Alignment:
-    """n: words of a seed. rare: share of an item's n-grams, the rarest first, that
-    are seeds. match, mismatch, gap: scores of the alignment. least: share of a
+    """n: words of a seed. match, mismatch, gap: scores of the alignment. least: share of a
     perfect copy's score from which a passage is a copy. block_words: bound on the
     items' words that are held at once."""
 
     n: int = 3
-    rare: float = 0.75
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -67,6 +65,7 @@ class Items:
         grams = [self.grams(w) for w in self.words]
         self.codes = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         self.places = [np.searchsorted(self.codes, g) for g in grams]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(max(0, len(ids) - self.n + 1), np.int64)
@@ -78,6 +77,12 @@ class Items:
         found = WORD.findall(text.lower())
         return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
 
+    def shared(self, k: int, ids: np.ndarray) -> int:
+        """Words that item k and ``ids`` have in common, repeated ones as often as in both: no alignment matches more."""
+        words, often = self.bags[k]
+        i = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        return int(np.minimum(np.bincount(i[words[i] == ids], minlength=len(words)), often).sum())
+
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, n-gram) wherever an n-gram of the items stands in ``ids``."""
         places = max(0, len(ids) - self.n + 1)
@@ -111,34 +116,12 @@ def item_blocks(items: DataFrame, item_id: str, text: str, spec: Alignment) -> I
         yield Items(held, spec.n)
 
 
-def document_frequency(docs: DataFrame, text: str, items: Items) -> np.ndarray:
-    """In how many documents each n-gram of the items stands, over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.codes), np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    total[np.unique(items.found(items.word_ids(t))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(items.codes), np.int64)
-    for r in rows:
-        out[r["gram"]] = r["n"]
-    return out
-
-
-def rare_seeds(items: Items, frequency: np.ndarray, rare: float) -> dict[int, list[tuple[int, int]]]:
-    """n-gram -> (item, offset), for the rarest distinct n-grams of each item."""
+def all_seeds(items: Items) -> dict[int, list[tuple[int, int]]]:
+    """n-gram -> (item, offset), for all n-grams of each item."""
     seeds: dict[int, list[tuple[int, int]]] = {}
     for k, places in enumerate(items.places):
-        grams, first = np.unique(places, return_index=True)
-        order = np.lexsort((first, frequency[grams]))
-        chosen = grams[order[: max(1, int(np.ceil(len(grams) * rare)))]]
-        for offset in np.flatnonzero(np.isin(places, chosen)):
-            seeds.setdefault(int(places[offset]), []).append((k, int(offset)))
+        for offset, gram in enumerate(places.tolist()):
+            seeds.setdefault(gram, []).append((k, offset))
     return seeds
 
 
@@ -177,12 +160,14 @@ def align(items: Items, seeds: dict, ids: np.ndarray, spec: Alignment) -> list[t
             if after is not None and after - s <= len(item) + 2 * slack:
                 continue
             left, right = max(0, low - slack), min(len(ids), s + len(item) + slack)
+            low = after
+            if spec.match * items.shared(k, ids[left:right]) / (spec.match * len(item)) < spec.least:
+                continue
             score, end = smith_waterman(item, ids[left:right], spec)
             share = score / (spec.match * len(item))
             if share >= spec.least and share > best[0]:
                 _, back = smith_waterman(item[::-1], ids[left : left + end][::-1], spec)
                 best = (share, left + end - back, left + end)
-            low = after
         if best[0]:
             out.append((items.ids[k], *best, len(starts)))
     return sorted(out, key=lambda x: (x[0] is None, x[0], x[1:]))
@@ -198,7 +183,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, spec: Alignment | None = No
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())]))
     found = []
     for items in item_blocks(benchmark, item_id, item_text, spec):
-        seeds = rare_seeds(items, document_frequency(docs, text, items), spec.rare)
+        seeds = all_seeds(items)
 
         def hits(batches: Iterator[pa.Array], items=items, seeds=seeds) -> Iterator[pa.Array]:
             names = ("item_id", "score", "first_word", "end_word", "seeds")

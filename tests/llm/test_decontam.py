@@ -85,3 +85,30 @@ def test_odd_rows(spark, odd, clashing, nothing, odd_rows):
         assert by == sorted([("1", whole), ("2", whole), ("3", []), ("4", []), ("5", []), ("None", whole), ("6", []), ("7", [5]), ("8", whole), ("8", whole), ("9", []), ("None", [])])
     assert decontam.with_hits(nothing, items).count() == 0
     assert all(r["hits"] == [] for r in decontam.with_hits(odd, items.limit(0)).collect())
+
+
+def test_only_copies_with_many_edits(spark):
+    """The n-grams that no document has are those the edits broke; the ones kept are the more frequent."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(2000)]
+    items, docs = [], []
+    for i in range(60):
+        copy = [r.choice(words) for _ in range(r.randint(20, 40))]
+        items.append((i, " ".join(copy)))
+        # Every fourth word replaced, or every third but the last few, which leaves a run to find it by.
+        at = range(3, len(copy), 4) if i % 2 else range(2, len(copy) - 4, 3)
+        for j in at:
+            copy[j] = r.choice(words)
+        body = [r.choice(words) for _ in range(100)]
+        body[50:50] = copy
+        docs.append((i, " ".join(body)))
+    got = decontam.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    spec = Alignment()
+    truth = set()
+    for d, t in docs:
+        for i, x in items:
+            a, b = (np.array([hash(w) for w in y.split()]) for y in (x, t))
+            if i == d and slow_score(a, b, spec) / (spec.match * len(a)) >= spec.least:
+                truth.add((d, i))
+    assert len(truth) >= 45
+    assert {(g["doc_id"], h["item_id"]) for g in got for h in g["hits"]} == truth
