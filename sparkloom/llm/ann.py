@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample and split until their lists are of
 like size. Every vector goes to the list of its nearest centroid and, near a
 boundary, to those of others almost as near. A search finds centroids through a
 graph that is held in memory, takes the lists whose centroids are not much
-farther than the nearest, and measures exact distances within them.
+farther than the nearest that hold k + 1 vectors together (all lists are looked
+through where those found hold fewer), and measures exact distances within them.
 
 Equal vectors are searched and listed once, with their smallest ids: of a
 query's nearest, no more than k + 1 of a group of equal vectors can matter.
@@ -38,7 +39,8 @@ class Lists:
     max_lists. sample_rows, sample_mb: bounds on what centroids are fitted on (by
     hash order of the ids). replicate: a vector goes to all lists whose centroids
     are at most this times as far as the nearest, up to ``copies``. probe: a search
-    takes the lists whose centroids are at most this times as far as the nearest.
+    takes the lists whose centroids are at most this times as far as the nearest
+    that hold k + 1 vectors together.
     beam: candidates kept in a search of the graph, for a
     query at least beam_share of all lists, so that recall doesn't fall as lists grow
     in number: in data without clusters the nearest are spread over a share of the
@@ -186,19 +188,34 @@ def fit(vectors: DataFrame, n: int, dim: int, spec: Lists) -> Graph:
     return Graph(c, *centroid_graph(c, spec.degree))
 
 
-def _listed(rows: DataFrame, graph: Graph, ratio: float, beam: int, most: int) -> DataFrame:
-    """``rows``, which have a column _v, once for each list within the ratio, up to ``most``."""
-    schema = rows.select(F.lit(0).alias("_list"), "*").schema
+def _listed(rows: DataFrame, graph: Graph, ratio: float, beam: int, most: int, own: np.ndarray | None = None, need: int = 0) -> DataFrame:
+    """``rows``, which have a column _v, once for each list within the ratio, up to ``most``. With ``own``, the number
+    of vectors to which each list is the nearest, the ratio is to the nearest lists that hold ``need`` of them together."""
+    schema = rows.select(F.lit(0).alias("_list"), F.lit(True).alias("_near"), "*").schema
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, far = graph.search(_matrix(batch.column("_v")), beam)
+                x = _matrix(batch.column("_v"))
+                ids, far = graph.search(x, beam)
                 ids, far = ids[:, :most], far[:, :most]
-                r, k = np.nonzero((ids >= 0) & (far <= np.maximum(far[:, :1] * ratio, 1e-6)))
+                within = far[:, 0] if own is None else enough(ids, far)
+                if own is not None and (short := np.flatnonzero(np.isinf(within))).size:
+                    every = np.sqrt(_squares(x[short], graph.c))
+                    order = every.argsort(axis=1, kind="stable")
+                    pad = ((0, 0), (0, len(graph.c) - ids.shape[1]))
+                    ids, far = np.pad(ids, pad, constant_values=-1), np.pad(far, pad, constant_values=np.inf)
+                    ids[short], far[short] = order, np.take_along_axis(every, order, axis=1)
+                    within[short] = enough(ids[short], far[short])
+                r, k = np.nonzero((ids >= 0) & (far <= np.maximum(within[:, None] * ratio, 1e-6)))
                 taken = batch.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, k], pa.int32()), *taken.columns], names=["_list", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, k], pa.int32()), pa.array(k == 0), *taken.columns], names=["_list", "_near", *batch.schema.names])
+
+    def enough(ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The distance within which lists hold ``need`` vectors, infinite where they don't."""
+        held = np.cumsum(np.where(ids >= 0, own[ids], 0), axis=1) >= need
+        return np.where(held[:, -1], far[np.arange(len(far)), held.argmax(axis=1)], np.inf)
 
     return rows.mapInArrow(listed, schema)
 
@@ -226,7 +243,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, spec: Lists | None
     postings = written(_listed(distinct, graph, spec.replicate, spec.beam, spec.copies), "postings")
     asked = written(equals(rows.where("_q").select("_id", "_h", "_v"), 1).select(F.col("_id").alias("_query"), "_h", "_v"), "asked")
     beam = max(spec.beam, int(np.ceil(spec.beam_share * len(graph.c))))
-    probes = written(_listed(asked.select("_query", "_v"), graph, spec.probe, beam, beam), "probes")
+    own = np.zeros(len(graph.c), np.int64)
+    for r in postings.where("_near").groupBy("_list").count().collect():
+        own[r["_list"]] = r["count"]
+    probes = written(_listed(asked.select("_query", "_v"), graph, spec.probe, beam, beam, own, k + 1), "probes")
 
     # One row per list, of which there are at most max_lists: small enough to broadcast at any size of the input.
     parts = lambda df, name: df.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / spec.block).cast("int").alias(name))

@@ -83,3 +83,16 @@ def test_equal_vectors_and_odd_rows(spark):
     few = spark.createDataFrame([(10, [1.0]), (20, [3.0]), (30, [-1.0])], "vec_id long, embedding array<float>")
     assert found(nearest(few, F.col("vec_id") == 10)) == {10: [(20, 2.0), (30, 2.0)]}
     assert nearest(few.limit(0), F.col("vec_id") == 10).count() == 0
+
+
+@pytest.mark.parametrize("beam", [64, 1])
+def test_families_that_draw_centroids_get_all_rows(spark, beam):
+    """Vectors with a centroid to themselves: their lists hold fewer than k, at a distance of almost 0."""
+    rng = np.random.default_rng(4)
+    x = [v for v in rng.normal(size=(800, 8))] + [c + 1e-4 * rng.normal(size=8) for c in 30 * rng.normal(size=(20, 8)) for _ in range(4)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest(vectors, F.col("vec_id") >= 800, 10, Lists(list_size=10, beam=beam, beam_share=0.01)))
+    expected = brute(rows, lambda i: i >= 800, 10)
+    assert set(got) == set(expected) and all(len(near) == 10 for near in got.values())
+    assert beam == 1 or recall(got, expected) >= 0.9
