@@ -9,17 +9,23 @@ anchor stand next to each other in a document and make up one stretch of it.
 1. ``cut``: documents are cut into stretches. Equal stretches that meet in one
    task leave only the smallest document's; the others are settled.
 2. ``meet``: stretches, as hashes, are dealt out by anchor. Equal stretches of
-   several documents are settled; where an anchor has different stretches, the
-   smallest document's of each is asked for. Larger anchors than a suffix array
-   is to hold are asked for string by string instead.
+   several documents are settled (equal in bucket, 32 more bits of the anchor's
+   hash and 64 of the content's). Where an anchor has different stretches, two can
+   share a string only if they agree on the bytes before the anchor or on those
+   after it, half a string's rest on one side; of both sides each record holds 8 bits.
+   Stretches that agree with another document's are asked for, all of an anchor
+   together, or, where that is more than a suffix array is to hold, those of one
+   side. Only what is still larger is asked for string by string.
 3. ``fetch``: documents give the bytes asked for, dealt out by anchor.
 4. ``sort``: stretches of one anchor become a text whose suffix array (linear
    grouping construction, all anchors of a batch in lock step) brings equal
    strings together; strings that a smaller document has are settled.
 5. ``clean``: documents remove what has been settled.
 
-Only steps 3 and 5 move texts, to tasks of about ``task_mb``. Nothing is capped:
-what exceeds a limit takes the other, exact way.
+Steps 3 and 5 share one shuffle of the texts, which move compressed, to tasks of
+about ``task_mb`` and ``task_rows``; rows equal in id and text move once from each
+task, with their number. Nothing is capped: what exceeds a limit takes the other,
+exact way. A row is known by its id and 64 bits of its text's hash.
 
 Defined cases: a null or empty text has no bytes and loses none; a text shorter
 than ``length`` loses none; documents with equal ids, repeated rows included, are
@@ -46,20 +52,23 @@ travels(__name__)
 
 LAST = 2**63 - 1
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SETTLED, STRETCH, ASK, ASK_EACH, TEXT, SINGLE = range(6)
+SETTLED, STRETCH, ASK, ASK_EACH, TEXT, SINGLE, DOCS = range(7)
 PACKET = "kind int, target int, packed binary"
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: of the strings, in bytes. gram: bytes of an anchor. task_mb: text that a
-    task takes at a time; cut_mb: text that is cut into stretches at a time. anchor_mb: text whose stretches make up one bucket of anchors.
+    """length: of the strings, in bytes. gram: bytes of an anchor. task_mb, task_rows: text and
+    documents that a task takes at a time; cut_mb: text that is cut into stretches at a time, pack_mb: that is
+    compressed at a time. anchor_mb: text whose stretches make up one bucket of anchors.
     stretches: of one anchor, up to which they are sorted together. batch_mb: text
     that is sorted in lock step."""
 
     length: int = 50
     gram: int = 16
     task_mb: int = 12
+    task_rows: int = 1024
+    pack_mb: float = 24.0
     cut_mb: float = 2.0
     anchor_mb: int = 32
     stretches: int = 64
@@ -95,6 +104,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _sides(spec: Repeats, count: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a stretch has strings that reach half the rest of a string before the anchor, and ones that reach more than half behind it.
+
+    Each string does one or the other: the rest is what an anchor leaves of it.
+    """
+    span = spec.length - spec.gram
+    return shift.astype(np.int64) >= span // 2, shift.astype(np.int64) - count.astype(np.int64) + 1 < span // 2
+
+
+def _context(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """8 bits of a hash of the ``width`` bytes from each place on."""
+    words, out = _words(data), np.zeros(len(at), np.uint64)
+    if width < 8:
+        out = _mixed(words[at] & np.uint64((1 << 8 * width) - 1))
+    for k in [*range(0, width - 8, 8), width - 8] if width >= 8 else ():
+        out = _mixed(out * M3 + words[at + k])
+    return (out >> np.uint64(56)).astype(np.uint8)
+
+
 def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repeats) -> dict[str, np.ndarray]:
     """The stretches of documents that lie one after another in ``data``: doc, low
     (first string's place in the document), count (strings), shift (the anchor's place
@@ -138,19 +166,25 @@ def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repea
     content = (sums[end] - sums[low]) * back[low]
     shift = place - low
     content = _mixed(content ^ (count.astype(np.uint64) << np.uint64(40)) ^ (shift.astype(np.uint64) << np.uint64(8)))
+    before, after = _sides(spec, count, shift)
+    half, rest = span // 2, span - span // 2 + 1
+    left, right = _context(data, np.where(before, place - half, 0), half), _context(data, place + spec.gram, rest)
+    content = (content & ~np.uint64(0xFFFF)) | np.where(before, left, 0).astype(np.uint64) | (np.where(after, right, 0).astype(np.uint64) << np.uint64(8))
     return {"doc": doc, "low": low - start[doc], "count": count, "shift": shift, "anchor": hashes[place], "content": content, "at": low}
 
 
 #: An anchor is its bucket, which a packet is sent to, and 32 more bits; in what is asked of documents the bucket goes along.
 RECORD = [("anchor", "<u4"), ("content", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("count", "u1"), ("shift", "u1")]
 ASKED = [*RECORD, ("bucket", "<i4")]
-PLACES = {SETTLED: [("row", "<i8"), ("low", "<u4"), ("mask", "<u8")], STRETCH: RECORD, ASK: ASKED, ASK_EACH: ASKED, SINGLE: [("key", "<u8"), ("key2", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4")]}
+DOCUMENT = [("row", "<i8"), ("id", "<i8"), ("copies", "<i8"), ("size", "<i8")]
+PLACES = {DOCS: DOCUMENT, SETTLED: [("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("mask", "<u8")], STRETCH: RECORD, ASK: ASKED, ASK_EACH: ASKED, SINGLE: [("key", "<u8"), ("key2", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4")]}
 
 
 def _pack(kind: int, columns: dict[str, np.ndarray], more: bytes = b"") -> bytes:
-    """Columns one after another, which compress better than rows do."""
+    """Columns one after another, in each the first bytes of all numbers, then the second ones: these compress better than rows do."""
     n = len(next(iter(columns.values())))
-    return zstandard.ZstdCompressor(1).compress(np.int64(n).tobytes() + b"".join(columns[name].astype(t).tobytes() for name, t in PLACES[kind]) + more)
+    planes = (np.ascontiguousarray(columns[name].astype(t)).view(np.uint8).reshape(n, -1).T.tobytes() for name, t in PLACES[kind])
+    return zstandard.ZstdCompressor(1).compress(np.int64(n).tobytes() + b"".join(planes) + more)
 
 
 def _unpack(kind: int, packets: list[bytes], more: list | None = None) -> dict[str, np.ndarray]:
@@ -160,8 +194,9 @@ def _unpack(kind: int, packets: list[bytes], more: list | None = None) -> dict[s
         packet = zstandard.ZstdDecompressor().decompress(packet)
         n, at = int(np.frombuffer(packet, np.int64, 1)[0]), 8
         for name, t in PLACES[kind]:
-            pieces[name].append(np.frombuffer(packet, t, n, at))
-            at += n * np.dtype(t).itemsize
+            width = np.dtype(t).itemsize
+            pieces[name].append(np.ascontiguousarray(np.frombuffer(packet, np.uint8, n * width, at).reshape(width, n).T).view(t).reshape(n))
+            at += n * width
         if more is not None:
             more.append(np.frombuffer(packet, np.uint8, offset=at))
     return {name: np.concatenate(p) if p else np.zeros(0, t) for (name, t), p in zip(PLACES[kind], pieces.values(), strict=True)}
@@ -182,9 +217,10 @@ def _batch(packets: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(targets, pa.int32()), pa.array(packed, pa.binary())], names=["kind", "target", "packed"])
 
 
-def _part(row: np.ndarray, parts: int) -> np.ndarray:
-    """The task that a row belongs to, as pmod() has it."""
-    return row % parts
+def _part(r: dict[str, np.ndarray], some: np.ndarray | slice, parts: int) -> np.ndarray:
+    """The tasks that rows belong to."""
+    row, own = r["row"][some].astype(np.int64).view(np.uint64), r["id"][some].astype(np.int64).view(np.uint64)
+    return (_mixed(row ^ _mixed(own * M1 + M2)) % np.uint64(parts)).astype(np.int64)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -210,38 +246,85 @@ def _settle(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, ids > np.repeat(least, np.diff(np.append(start, len(order))))
 
 
+def _dealt_back(r: dict[str, np.ndarray], some: np.ndarray, low: np.ndarray, mask: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    yield from _dealt(SETTLED, _part(r, some, parts), {"row": r["row"][some], "id": r["id"][some], "low": low, "mask": mask})
+
+
 def _settled(r: dict[str, np.ndarray], some: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
     if len(some):
-        yield from _dealt(SETTLED, _part(r["row"][some], parts), {"row": r["row"][some], "low": r["low"][some], "mask": _all(r["count"][some])})
+        yield from _dealt_back(r, some, r["low"][some], _all(r["count"][some]), parts)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, start, size, row, id) of up to ``most`` bytes of documents at a time, a longer document alone."""
-    held, total = [], 0
+def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(data, documents) of up to ``most`` bytes of documents at a time, a longer document alone; those equal in id and text once, with their number."""
+    held: dict[tuple[int, int], list] = {}
+    total = 0
 
     def joined():
-        data = np.frombuffer(b"".join(t for t, _, _ in held) + bytes(64), np.uint8)
-        size = np.array([len(t) for t, _, _ in held], np.int64)
-        return data, np.cumsum(size) - size, size, np.array([r for _, r, _ in held], np.int64), np.array([i for _, _, i in held], np.int64)
+        data = np.frombuffer(b"".join(t for t, _ in held.values()) + bytes(64), np.uint8)
+        size = np.array([len(t) for t, _ in held.values()], np.int64)
+        row, own = (np.array([key[k] for key in held], np.int64) for k in range(2))
+        return data, {"row": row, "id": own, "copies": np.array([n for _, n in held.values()], np.int64), "size": size, "start": np.cumsum(size) - size}
 
     for batch in batches:
         texts, rows, ids = (batch.column(k) for k in ("text", "row", "id"))
-        for t, r, i in zip(texts, rows.to_numpy(), ids.to_numpy(), strict=True):
+        for t, r, i in zip(texts, rows.to_pylist(), ids.to_pylist(), strict=True):
+            if (r, i) in held:
+                held[r, i][1] += 1
+                continue
             text = t.as_py() or b""
             if held and total + len(text) > most:
                 yield joined()
-                held, total = [], 0
-            held.append((text, r, i))
+                held, total = {}, 0
+            held[r, i] = [text, 1]
             total += len(text)
     if held:
         yield joined()
 
 
+def _packed(spec: Repeats, parts: int):
+    """Documents in packets for the tasks they belong to."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, d in _texts(batches, int(spec.pack_mb * (1 << 20))):
+            target = _part(d, slice(None), parts)
+            order = np.argsort(target, kind="stable")
+            edges = np.flatnonzero(np.diff(target[order], prepend=-1))
+            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                some = order[a:b]
+                text = b"".join(data[x : x + n].tobytes() for x, n in zip(d["start"][some], d["size"][some], strict=True))
+                yield _batch([(DOCS, int(target[some[0]]), _pack(DOCS, {k: d[k][some] for k, _ in DOCUMENT}, text))])
+
+    return packed
+
+
+def _documents(table: pa.Table) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(data, documents) of each packet."""
+    for packet in _packets(table):
+        more: list[np.ndarray] = []
+        d = _unpack(DOCS, [packet], more)
+        d["start"] = np.cumsum(d["size"]) - d["size"]
+        yield np.concatenate([more[0], np.zeros(64, np.uint8)]), d
+
+
+def _found(known: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> np.ndarray:
+    """For each of ``r`` the place in ``known`` of the row of the same id and hash, or -1."""
+    n = len(known["row"])
+    row, own = np.concatenate([known["row"], r["row"]]), np.concatenate([known["id"], r["id"]])
+    order = np.lexsort((own, row))
+    start = _runs(row[order], own[order])
+    which = np.empty(len(row), np.int64)
+    which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(row))))
+    place = np.full(len(start), -1)
+    place[which[:n]] = np.arange(n)
+    return place[which[n:]]
+
+
 def _cut(spec: Repeats, buckets: int, parts: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, start, size, row, ids in _texts(batches, int(spec.cut_mb * (1 << 20))):
-            r = stretches(data, start, size, spec)
-            r["row"], r["id"] = row[r["doc"]], ids[r["doc"]]
+        for data, d in _texts(batches, int(spec.cut_mb * (1 << 20))):
+            r = stretches(data, d["start"], d["size"], spec)
+            r["row"], r["id"] = d["row"][r["doc"]], d["id"][r["doc"]]
             order, later = _settle(r)
             later = order[later]
             packets = list(_settled(r, later, parts))
@@ -272,33 +355,49 @@ def _meet(spec: Repeats, parts: int):
         order, later = _settle(r)
         out = list(_settled(r, order[later], parts))
         # What is left of each content stands in the smallest document; one of its places is asked for, and all of them if there are several.
-        left = order[~later]
-        start = _runs(r["anchor"][left])
-        size = np.diff(np.append(start, len(left)))
-        content = np.zeros(len(left), bool)
-        content[_runs(r["anchor"][left], r["content"][left])] = True
-        different = np.add.reduceat(content, start) if len(left) else np.zeros(0, int)
-        ids = r["id"][left]
-        several = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) if len(left) else np.zeros(0, bool)
-        several &= different > 1
-        for way, chosen in ((ASK, several & (size <= spec.stretches)), (ASK_EACH, several & (size > spec.stretches))):
-            some = left[np.repeat(chosen, size)]
-            out += _dealt(way, _part(r["row"][some], parts), {k: r[k][some] for k, _ in ASKED})
+        r = {k: v[order[~later]] for k, v in r.items()}
+        sides = [(has, (r["content"] >> np.uint64(8 * k)) & np.uint64(0xFF)) for k, has in enumerate(_sides(spec, r["count"], r["shift"]))]
+        agree = [_agree(r, np.flatnonzero(has), byte) for has, byte in sides]
+        asked = np.flatnonzero(agree[0] | agree[1])
+        large = np.zeros(len(r["row"]), bool)
+        large[asked] = _numbers(r["anchor"][asked]) > spec.stretches
+        some, each = asked[~large[asked]], np.zeros(len(large), bool)
+        out += _dealt(ASK, _part(r, some, parts), {k: r[k][some] for k, _ in ASKED})
+        for k, (_, byte) in enumerate(sides):
+            some = np.flatnonzero(agree[k] & large)
+            lane = (_mixed((r["anchor"][some].astype(np.uint64) << np.uint64(16)) + (byte[some] << np.uint64(1)) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
+            few = _numbers(lane) <= spec.stretches
+            each[some[~few]] = True
+            some = some[few]
+            out += _dealt(ASK, _part(r, some, parts), {k: r[k][some] for k, _ in ASKED} | {"anchor": lane[few]})
+        some = np.flatnonzero(each)
+        out += _dealt(ASK_EACH, _part(r, some, parts), {k: r[k][some] for k, _ in ASKED})
         return pa.Table.from_batches([_batch(out)])
 
     return meet
 
 
-def _row_batches(docs: pa.Table) -> list[pa.RecordBatch]:
-    return docs.select(["text", "row", "id"]).to_batches()
+def _numbers(*keys: np.ndarray) -> np.ndarray:
+    """How many have the same keys, for each."""
+    order = np.lexsort(keys[::-1])
+    start = _runs(*(k[order] for k in keys))
+    size = np.diff(np.append(start, len(order)))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
 
 
-def _asked_places(r: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which records are of these rows, and where they begin in the rows' data; equal rows count once."""
-    known, at = np.unique(row, return_index=True)
-    i = np.minimum(np.searchsorted(known, r["row"]), len(known) - 1)
-    ok = np.flatnonzero(known[i] == r["row"])
-    return ok, start[at[i[ok]]] + r["low"][ok]
+def _agree(r: dict[str, np.ndarray], some: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Which of ``some`` have another content and id beside them that agree in anchor and byte."""
+    out = np.zeros(len(r["row"]), bool)
+    if len(some):
+        order = some[np.lexsort((byte[some], r["anchor"][some]))]
+        start = _runs(r["anchor"][order], byte[order])
+        differ = np.ones(len(start), bool)
+        for k in ("id", "content"):
+            differ &= np.minimum.reduceat(r[k][order], start) != np.maximum.reduceat(r[k][order], start)
+        out[order] = np.repeat(differ, np.diff(np.append(start, len(order))))
+    return out
 
 
 def _fetch(spec: Repeats, buckets: int, parts: int):
@@ -306,19 +405,21 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
         kinds, packets = asked.column("kind").to_pylist(), _packets(asked)
         out: list[tuple[int, int, bytes]] = []
         wanted = {way: _unpack(way, [p for k, p in zip(kinds, packets, strict=True) if k == way]) for way in (ASK, ASK_EACH)}
-        done: set[int] = set()
         if not sum(len(w["row"]) for w in wanted.values()):
             return pa.Table.from_batches([_batch([])])
-        for data, start, size, row, ids in _texts(iter(_row_batches(docs)), spec.task_mb << 20):
-            fresh = np.array([r not in done for r in row.tolist()])
-            done.update(row.tolist())
-            start, row = start[fresh], row[fresh]
-            if not len(row):
-                continue
-            r = wanted[ASK]
-            ok, at = _asked_places(r, row, start)
+        given = {way: np.zeros(len(w["row"]), bool) for way, w in wanted.items()}
+
+        def places(way: int, d: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """What is asked of these documents and hasn't been given by an equal row, and where it begins in the data."""
+            which = _found(d, wanted[way])
+            ok = np.flatnonzero((which >= 0) & ~given[way])
+            given[way][ok] = True
+            return ok, d["start"][which[ok]] + wanted[way]["low"][ok]
+
+        for data, d in _documents(docs):
+            ok, at = places(ASK, d)
             if len(ok):
-                r = {k: r[k][ok] for k, _ in ASKED}
+                r = {k: wanted[ASK][k][ok] for k, _ in ASKED}
                 target = r["bucket"]
                 order = np.argsort(target, kind="stable")
                 edges = np.flatnonzero(np.diff(target[order], prepend=-1))
@@ -329,7 +430,7 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
                     text = data[np.arange(ends[-1]) + np.repeat(at[some] - (ends - width), width)]
                     out.append((TEXT, int(target[some[0]]), _pack(STRETCH, {k: v[some] for k, v in r.items()}, text.tobytes())))
             r = wanted[ASK_EACH]
-            ok, at = _asked_places(r, row, start)
+            ok, at = places(ASK_EACH, d)
             if len(ok):
                 count = r["count"][ok].astype(np.int64)
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -340,7 +441,7 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
                     one, two = _mixed(one * M1 + words[place + k]), _mixed(two * M3 + (words[place + k] ^ M2))
                 single = {"key": one, "key2": two, "row": np.repeat(r["row"][ok], count), "id": np.repeat(r["id"][ok], count), "low": np.repeat(r["low"][ok], count) + step}
                 later, keep = _single(single)
-                out += _dealt(SETTLED, _part(single["row"][later], parts), {"row": single["row"][later], "low": single["low"][later], "mask": np.ones(len(later), np.uint64)})
+                out += _dealt_back(single, later, single["low"][later], np.ones(len(later), np.uint64), parts)
                 out += _dealt(SINGLE, (one[keep] % np.uint64(buckets)).astype(np.int64), {k: v[keep] for k, v in single.items()})
         return pa.Table.from_batches([_batch(out)])
 
@@ -418,12 +519,12 @@ def _sort(spec: Repeats, parts: int):
         if kind == SINGLE:
             s = _unpack(SINGLE, packets)
             later, _ = _single(s)
-            return pa.Table.from_batches([_batch(list(_dealt(SETTLED, _part(s["row"][later], parts), {"row": s["row"][later], "low": s["low"][later], "mask": np.ones(len(later), np.uint64)})))])
+            return pa.Table.from_batches([_batch(list(_dealt_back(s, later, s["low"][later], np.ones(len(later), np.uint64), parts)))])
         texts: list[np.ndarray] = []
         r = _unpack(STRETCH, packets, texts)
         mask = sorted_repeats(r, np.concatenate(texts), spec)
         some = np.flatnonzero(mask)
-        return pa.Table.from_batches([_batch(list(_dealt(SETTLED, _part(r["row"][some], parts), {"row": r["row"][some], "low": r["low"][some], "mask": mask[some]})))])
+        return pa.Table.from_batches([_batch(list(_dealt_back(r, some, r["low"][some], mask[some], parts)))])
 
     return sort
 
@@ -437,29 +538,32 @@ def removed_bytes(size: int, low: np.ndarray, mask: np.ndarray, length: int) ->
     return begun[length:] > begun[:size]
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_sha256 string"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_sha256 string, copies long"
 
 
 def _clean(spec: Repeats):
     def clean(key: tuple, docs: pa.Table, settled: pa.Table) -> pa.Table:
         s = _unpack(SETTLED, _packets(settled))
-        order = np.argsort(s["row"], kind="stable")
-        s = {k: v[order] for k, v in s.items()}
-        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256")}
-        for text, row, own in zip(docs.column("text"), docs.column("row").to_pylist(), docs.column("id").to_pylist(), strict=True):
-            data = np.frombuffer(text.as_py() or b"", np.uint8)
-            a, b = np.searchsorted(s["row"], row), np.searchsorted(s["row"], row, side="right")
-            gone = removed_bytes(len(data), s["low"][a:b], s["mask"][a:b], spec.length) if b > a else np.zeros(len(data), bool)
-            edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
-            out["id"].append(None if own == LAST else own)
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(int(gone.sum()))
-            out["starts"].append(np.flatnonzero(edge == 1).tolist())
-            out["ends"].append(np.flatnonzero(edge == -1).tolist())
-            out["n_spans"].append(len(out["starts"][-1]))
-            out["kept_sha256"].append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
+        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256", "copies")}
+        for packet, d in _documents(docs):
+            which = _found(d, s)
+            order = np.argsort(which, kind="stable")
+            low, mask = s["low"][order], s["mask"][order]
+            edges = np.searchsorted(which[order], np.arange(len(d["row"]) + 1))
+            for k, (start, size, own, copies) in enumerate(zip(*(d[x].tolist() for x in ("start", "size", "id", "copies")), strict=True)):
+                data, a, b = packet[start : start + size], edges[k], edges[k + 1]
+                gone = removed_bytes(size, low[a:b], mask[a:b], spec.length) if b > a else np.zeros(size, bool)
+                edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+                out["id"].append(None if own == LAST else own)
+                out["n_bytes"].append(size)
+                out["n_removed"].append(int(gone.sum()))
+                out["starts"].append(np.flatnonzero(edge == 1).tolist())
+                out["ends"].append(np.flatnonzero(edge == -1).tolist())
+                out["n_spans"].append(len(out["starts"][-1]))
+                out["kept_sha256"].append(hashlib.sha256((data[~gone] if b > a else data).tobytes()).hexdigest())
+                out["copies"].append(copies)
         long, longs = pa.int64(), pa.list_(pa.int64())
-        return pa.table(out, schema=pa.schema([("id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("starts", longs), ("ends", longs), ("kept_sha256", pa.string())]))
+        return pa.table(out, schema=pa.schema([("id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("starts", longs), ("ends", longs), ("kept_sha256", pa.string()), ("copies", long)]))
 
     return clean
 
@@ -470,18 +574,19 @@ def repeated_text(docs: DataFrame, spec: Repeats | None = None, key: str = "doc_
     if spec.length - spec.gram > 63:
         raise ValueError("a stretch has more strings than its mask has bits")
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    base = base.withColumn("row", F.xxhash64("id", "text"))
-    total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    parts, buckets = 1 + total // (spec.task_mb << 20), max(16, 1 + total // (spec.anchor_mb << 20))
+    base = base.withColumn("row", F.xxhash64("text"))
+    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()
+    parts, buckets = 1 + max(total // (spec.task_mb << 20), n // spec.task_rows), max(16, 1 + total // (spec.anchor_mb << 20))
 
     cut = base.mapInArrow(_cut(spec, buckets, parts), PACKET)
     met = written(cut.groupBy("kind", "target").applyInArrow(_meet(spec, parts), PACKET), "repeats-met")
-    rows = base.withColumn("target", F.pmod("row", F.lit(parts)).cast("int"))
+    rows = base.mapInArrow(_packed(spec, parts), PACKET).groupBy("target")  # one shuffle, that both steps read
     asked = met.where(F.col("kind").isin(ASK, ASK_EACH))
-    got = rows.groupBy("target").cogroup(asked.groupBy("target")).applyInArrow(_fetch(spec, buckets, parts), PACKET)
-    sorted_ = written(got.groupBy("kind", "target").applyInArrow(_sort(spec, parts), PACKET), "repeats-sorted")
+    got = rows.cogroup(asked.groupBy("target")).applyInArrow(_fetch(spec, buckets, parts), PACKET)
+    sorted_ = got.groupBy("kind", "target").applyInArrow(_sort(spec, parts), PACKET)
     settled = met.where(F.col("kind") == SETTLED).unionByName(sorted_)
-    out = rows.groupBy("target").cogroup(settled.groupBy("target")).applyInArrow(_clean(spec), RESULT)
+    out = rows.cogroup(settled.groupBy("target")).applyInArrow(_clean(spec), RESULT)
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
     return out.withColumnRenamed("id", key)
 
 

@@ -86,7 +86,7 @@ def passages():
     return rows + [(None, shared[3]), (None, shared[3]), (500, shared[3]), (501, shared[3][1:]), (502, None), (503, ""), (3, rows[5][1]), (3, rows[5][1])]
 
 
-@pytest.mark.parametrize("spec", [Repeats(), Repeats(stretches=1), Repeats(stretches=4, batch_mb=0.001), Repeats(gram=13), Repeats(gram=24)])
+@pytest.mark.parametrize("spec", [Repeats(), Repeats(stretches=1), Repeats(stretches=4, batch_mb=0.001), Repeats(gram=13), Repeats(gram=24), Repeats(gram=40, stretches=2), Repeats(cut_mb=0.001, pack_mb=0.001, task_rows=7)])
 def test_shared_passages(spark, spec):
     rows = passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -99,6 +99,12 @@ def test_spans_cover_what_is_removed(spark):
     assert got == {1: ([], []), 2: ([3], [63])}
 
 
+def test_many_equal_rows(spark):
+    text = "one text that stands in the table many times over, and that no other row has"
+    rows = [(7, text)] * 500 + [(None, text)] * 300 + [(1, "x")]
+    assert found(repeated_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Repeats(task_rows=16))) == slow(rows)
+
+
 def test_odd_rows(odd, clashing, nothing, odd_rows):
     expected = slow([(r[0], r[1]) for r in odd_rows])
     assert found(repeated_text(odd)) == expected and found(repeated_text(clashing)) == expected
