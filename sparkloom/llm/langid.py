@@ -171,7 +171,8 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def _has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and bool(_LETTER.search(text.decode("utf-8", "replace")))
+    """Whether a character is a letter; signs that stand for numbers alone, as in "½ Ⅷ ①", aren't."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(c.group().isalpha() for c in _LETTER.finditer(text.decode("utf-8", "replace")))
 
 
 def _as_bytes(texts: pa.Array) -> list[bytes | None]:
@@ -180,22 +181,22 @@ def _as_bytes(texts: pa.Array) -> list[bytes | None]:
 
 def sample_windows(docs: DataFrame, net: Network, text: str, label: str, key: str) -> tuple[np.ndarray, np.ndarray, tuple[str, ...]]:
     """A bounded sample of (windows, targets, labels): per_label rows of each label
-    (from 64 strata of the key's hash, so that no label is a hot key) and per_text
-    windows of each, cut to various lengths as the last window of a text is."""
+    (from 64 strata of a hash of key and text, so that no label is a hot key) and per_text
+    windows of each, cut to various lengths as the last window of a text is. Rows equal
+    in key, label and text count once; a null key is a key like any other."""
     from pyspark.sql import Window
 
-    narrow = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("y"))
-    narrow = narrow.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit("sample"))).withColumn("s", F.pmod("h", F.lit(64)))
-    order = Window.partitionBy("y", "s").orderBy("h", "k")
-    picked = narrow.withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-net.per_label // 64)).select("k", "y")
-    picked = picked.distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(label).cast("string").alias("y"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), ["k", "y"])
+    row = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample")).alias("k")
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(row, F.col(label).cast("string").alias("y"), F.col(text).alias("t"))
+    order = Window.partitionBy("y", F.pmod("k", F.lit(64))).orderBy("k")
+    picked = rows.select("k", "y").withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-net.per_label // 64)).select("k", "y").distinct()
+    rows = rows.join(F.broadcast(picked), ["k", "y"]).dropDuplicates(["k", "y"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks, ys, ws = [], [], []
-            for k, y, t in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), _as_bytes(batch.column(2)), strict=True):
-                rng = np.random.default_rng([net.seed, *(k or "").encode()])
+            for k, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _as_bytes(batch.column(2)), strict=True):
+                rng = np.random.default_rng([net.seed, k % 2**64])
                 for j in range(net.per_text if t and _has_letter(t) else 0):
                     size = net.window if j % 2 else int(rng.integers(16, net.window + 1))
                     at = int(rng.integers(0, max(1, len(t) - size + 1)))
@@ -239,7 +240,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", label: str
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(ps, pa.float64())], fields=list(kind))
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(scored, "lang string, p double")
+    udf = F.arrow_udf(scored, "lang string, p double").asNondeterministic()  # else the optimizer scores again for each of the two columns
     out = docs.withColumn("_lid", udf(F.col(text)))
     return out.withColumn(label, F.col("_lid.lang")).withColumn(score, F.col("_lid.p")).drop("_lid")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import travels, written
+from sparkloom.llm.common import small, travels, written
 from sparkloom.llm.components import components
 
 travels(__name__)
@@ -89,10 +89,11 @@ def _banded(texts: DataFrame, spec: MinHash) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
     """Those of ``pairs``, (t, u, c, d), whose texts' similarity is at least ``least``, as (a, b): their groups c and d."""
+    kind = pairs.schema["c"].dataType.simpleString()
     asked = pairs.select(F.explode(F.array("t", "u")).alias("t")).distinct()
     # One row for each text, chosen by its numbers alone, so that texts are neither sorted nor aggregated.
     chosen = written(texts.groupBy("t").agg(F.min("r").alias("r")).join(asked, "t", "left_semi"), "chosen")
-    held = written(texts.join(chosen.hint("shuffle_hash"), ["t", "r"], "left_semi").select("t", "text"), "compared")
+    held = written(texts.join(small(chosen), ["t", "r"], "left_semi").select("t", "text"), "compared")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,7 +104,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(near)
 
     both = pairs.join(held.withColumnRenamed("text", "x"), "t").join(held.select(F.col("t").alias("u"), F.col("text").alias("y")), "u")
-    return both.select(F.col("c").alias("a"), F.col("d").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select(F.col("c").alias("a"), F.col("d").alias("b"), "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def joined(texts: DataFrame, groups: DataFrame, spec: MinHash | None = None) -> DataFrame:

@@ -106,11 +106,11 @@ def plan_mixture(docs: DataFrame, mix: Mix | None = None, text: str = "text", ke
 
     Returns the key, source, size, source_size, target, taken and positions, the
     training position (0..1) at which each pass over the document starts. A source
-    is read in the order of a hash of the key, again from its start if its target
+    is read in the order of a hash of key and text, so that rows of one key are spread too, again from its start if its target
     exceeds its size, and the last document taken is cut at the target.
     """
     mix = mix or Mix()
-    narrow = docs.select(F.col(key).alias("_id"), "source", tokens(text).alias("size"), F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("_h"))
+    narrow = docs.select(F.col(key).alias("_id"), "source", tokens(text).alias("size"), F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))).alias("_h"))
     own = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, so that one exchange serves window and join
     narrow = written(narrow.withColumn("_k", own).withColumn("_b", F.substring("_h", 1, mix.digits)), "mix")
     targets = source_targets(narrow, mix).withColumn("_k", own).drop("source")
@@ -144,12 +144,12 @@ def op9_mixture(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM d GROUP BY source),
 wt AS (SELECT *, CASE k WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, source_size::DOUBLE * 2 AS bound, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total FROM per),
 lv AS (SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM wt),
 tg AS (SELECT source, source_size, k, least(bound, max(lev) OVER () * w) AS target FROM lv),
-o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), ''), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
 j AS (SELECT o.doc_id, o.size, tg.source_size, tg.target, tg.k, o.before, floor(tg.target)::BIGINT AS cut FROM o JOIN tg ON o.source IS NOT DISTINCT FROM tg.source),
 p AS (SELECT *, least(size, greatest(0, cut - before))::BIGINT AS a, least(size, greatest(0, cut - before - source_size))::BIGINT AS b, CASE WHEN cut > before AND size > 0 THEN before::DOUBLE / target END AS y FROM j)
 SELECT doc_id, size, source_size, target, a + b AS taken, ((a > 0)::INT + (b > 0)::INT)::BIGINT AS passes,

@@ -59,3 +59,10 @@ def test_odd_rows(odd, clashing, nothing):
     order = mixing.training_order(plan).collect()
     assert [r["position"] for r in order] == sorted(p for r in rows for p in r["positions"])
     assert mixing.plan_mixture(nothing).count() == 0
+
+
+def test_rows_of_one_key_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"w {i}", "s") for i in range(400)] + [(7, f"v {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    plan = mixing.plan_mixture(docs, mixing.Mix(digits=1))
+    row = plan.agg({"taken": "sum", "target": "max"}).collect()[0]
+    assert plan.count() == 800 and row["sum(taken)"] == int(row["max(target)"]) == 800 * 2 * 3 // 2

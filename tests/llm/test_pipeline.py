@@ -12,6 +12,11 @@ from sparkloom.llm.common import written
 from test_simhash import slow_components, slow_fingerprint  # isort: skip
 
 
+def slow_shingles(text, words=5):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))}
+
+
 def names(docs):
     return sorted(docs.columns)
 
@@ -40,6 +45,12 @@ def test_one_of_each_group_stays(stages):
     before, after = stages[1]
     rows = before.orderBy("doc_id").collect()
     groups = slow_components([r["doc_id"] for r in rows], [slow_fingerprint(r["text"], 5) for r in rows], 4)
+    sets = [slow_shingles(r["text"]) for r in rows]
+    for i, a in enumerate(sets):  # pairs of similarity 0.8 or more are linked as well, with whatever the fingerprints say
+        for j, b in enumerate(sets[:i]):
+            if groups[i] != groups[j] and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((groups[i], groups[j]))
+                groups = [low if g == high else g for g in groups]
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(groups))
 
 
@@ -92,3 +103,8 @@ def test_odd_rows_pass_every_stage(spark, small, odd, clashing, nothing):
 def test_rows_equal_in_all_stay_once(spark, small):
     docs = spark.createDataFrame([(5, "a b c d e f g", "en", "s", 1)] * 3 + [(None, "p q r s t u v", "en", "s", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r["doc_id"]) for r in P.near_duplicates(spark, docs, small).collect()) == ["5", "None"]
+
+
+def test_without_labels_documents_with_a_letter_stay(spark, small):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (4, "ü", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.language_id(spark, docs, small).collect()) == [1, 4]
