@@ -5,8 +5,11 @@ share one with probability 1 - (1 - s ** rows) ** bands, 0.99993 at 0.8 with the
 defaults and more above; every pair that is linked has been compared shingle by
 shingle. Texts that are in one group already aren't compared. The others are first
 compared with one text of each band they are in, which joins large groups without
-a pair for every two of their members, and then all pairs that still share a band
-and lie in different groups are compared, none left out.
+a pair for every two of their members. Of the pairs that still share a band and lie
+in different groups, those are compared which may be similar at all: shingles that no
+other such text has are in no intersection, which bounds the similarity of two texts
+from above, and of their 120 minima ``agreeing`` must be equal, which texts of
+similarity 0.8 miss with probability 10 ** -6.
 
 Defined cases: a null text or one without words is similar to nothing; a text of
 fewer words than a shingle is one shingle.
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import small, travels, written
@@ -28,15 +31,18 @@ from sparkloom.llm.components import components
 
 travels(__name__)
 
+M = np.uint64(0x9E3779B97F4A7C15)
+
 
 @dataclass(frozen=True)
 class MinHash:
-    """words: of a shingle. least: similarity of linked texts. bands, rows: as above."""
+    """words: of a shingle. least: similarity of linked texts. bands, rows, agreeing: as above."""
 
     words: int = 5
     least: float = 0.8
     bands: int = 24
     rows: int = 5
+    agreeing: int = 74
     seed: int = 7
 
 
@@ -55,13 +61,21 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def band_hashes(of: np.ndarray, spec: MinHash) -> np.ndarray:
-    """One 64-bit hash for each band, of a text's shingles."""
-    factors = np.random.default_rng(spec.seed).integers(0, 2**63, (2, spec.bands * spec.rows), np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(spec.bands * spec.rows, 2**64 - 1, np.uint64)
+def minima(of: np.ndarray, spec: MinHash) -> np.ndarray:
+    """The least value of each of bands * rows hashes, of a text's shingles."""
+    factors, least = _factors(spec)[0], np.full(spec.bands * spec.rows, 2**64 - 1, np.uint64)
     for at in range(0, len(of), 512):
-        least = np.minimum(least, (of[at : at + 512, None] * factors[0]).min(axis=0))
-    mixed = ((least ^ (least >> np.uint64(31))) * factors[1]).reshape(spec.bands, spec.rows).sum(axis=1, dtype=np.uint64)
+        least = np.minimum(least, (of[at : at + 512, None] * factors).min(axis=0))
+    return least ^ (least >> np.uint64(31))
+
+
+def _factors(spec: MinHash) -> np.ndarray:
+    return np.random.default_rng(spec.seed).integers(0, 2**63, (2, spec.bands * spec.rows), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_hashes(of: np.ndarray, spec: MinHash) -> np.ndarray:
+    """One 64-bit hash for each band, of a text's minima."""
+    mixed = (of * _factors(spec)[1]).reshape(spec.bands, spec.rows).sum(axis=1, dtype=np.uint64)
     return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -72,7 +86,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _banded(texts: DataFrame, spec: MinHash) -> DataFrame:
-    """(t, n, bands) of each distinct t with words; n: its distinct shingles."""
+    """(t, n, bands, least) of each distinct t with words; n: its distinct shingles, least: 8 bits of each minimum."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,20 +94,25 @@ def _banded(texts: DataFrame, spec: MinHash) -> DataFrame:
                 batch = whole.slice(at, 256)
                 sets = [shingles(t, spec.words) if t else () for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
                 some = np.flatnonzero([len(s) for s in sets])
-                bands = pa.array([band_hashes(sets[i], spec).view(np.int64) for i in some], pa.list_(pa.int64()))
+                least = [minima(sets[i], spec) for i in some]
+                bands = pa.array([band_hashes(x, spec).view(np.int64) for x in least], pa.list_(pa.int64()))
+                bits = pa.array([(x * M >> np.uint64(56)).astype(np.uint8).view(np.int8) for x in least], pa.list_(pa.int8()))
                 ids = batch.column(0).take(pa.array(some, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(sets[i]) for i in some], pa.int64()), bands], names=["t", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(sets[i]) for i in some], pa.int64()), bands, bits], names=["t", "n", "bands", "least"])
 
-    return written(texts.select("t", "text").mapInArrow(made, "t long, n long, bands array<long>"), "bands").dropDuplicates(["t"])
+    return texts.select("t", "text").mapInArrow(made, "t long, n long, bands array<long>, least array<tinyint>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
-    """Those of ``pairs``, (t, u, c, d), whose texts' similarity is at least ``least``, as (a, b): their groups c and d."""
-    kind = pairs.schema["c"].dataType.simpleString()
-    asked = pairs.select(F.explode(F.array("t", "u")).alias("t")).distinct()
+def _held(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t, text) of the texts asked for."""
     # One row for each text, chosen by its numbers alone, so that texts are neither sorted nor aggregated.
     chosen = written(texts.groupBy("t").agg(F.min("r").alias("r")).join(asked, "t", "left_semi"), "chosen")
-    held = written(texts.join(small(chosen), ["t", "r"], "left_semi").select("t", "text"), "compared")
+    return written(texts.join(small(chosen), ["t", "r"], "left_semi").select("t", "text"), "compared")
+
+
+def _similar(pairs: DataFrame, held: DataFrame, spec: MinHash) -> DataFrame:
+    """Those of ``pairs``, (t, u, c, d), whose texts' similarity is at least ``least``, as (a, b): their groups c and d."""
+    kind = pairs.schema["c"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,12 +126,30 @@ def _similar(pairs: DataFrame, texts: DataFrame, spec: MinHash) -> DataFrame:
     return both.select(F.col("c").alias("a"), F.col("d").alias("b"), "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _alone(held: DataFrame, spec: MinHash) -> DataFrame:
+    """(t, alone): how many shingles a text shares with no other one of ``held``, where there are any."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingles(t, spec.words) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["t", "s"])
+
+    each = held.mapInArrow(made, "t long, s long").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t"))
+    return each.where("n = 1").groupBy("t").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def joined(texts: DataFrame, groups: DataFrame, spec: MinHash | None = None) -> DataFrame:
     """(node, root) of the groups that similar texts join to others; texts: (t, r, text), t the text's hash, r the row's; groups: (t, c), the group c of each t."""
     spec = spec or MinHash()
-    banded = written(_banded(texts, spec).join(groups.dropDuplicates(["t"]), "t").select("t", "n", "c", F.explode("bands").alias("h")), "banded")
-    alike = F.least("n", "m") >= F.greatest("n", "m") * (spec.least - 1e-9)  # sizes alone rule the other pairs out
-    pair = [F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), F.when(F.col("t") < F.col("u"), F.col("c")).otherwise(F.col("d")).alias("c"), F.when(F.col("t") < F.col("u"), F.col("d")).otherwise(F.col("c")).alias("d")]
+    signed = written(_banded(texts, spec), "bands")
+    banded = written(signed.select("t", "n", "bands").dropDuplicates(["t"]).join(groups.dropDuplicates(["t"]), "t").select("t", "n", "c", F.explode("bands").alias("h")), "banded")
+
+    def reaches(both: Column, all_: Column) -> Column:
+        """Whether two texts with so many shingles in common, of so many of each together, are similar enough."""
+        return both >= (all_ - both) * (spec.least - 1e-9)
 
     def shared(rows: DataFrame) -> DataFrame:
         """The bands in which texts of several groups lie, each with one of its texts."""
@@ -120,13 +157,23 @@ def joined(texts: DataFrame, groups: DataFrame, spec: MinHash | None = None) ->
         return rows.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), one).where("least <> most")
 
     hubs = written(shared(banded).select("h", "o.u", "o.m", "o.d"), "hubs")
-    first = written(banded.join(hubs, "h").where((F.col("c") != F.col("d")) & alike).select(pair).distinct(), "first-pairs")
-    links = written(_similar(first, texts, spec), "first-links")
+    first = banded.join(hubs, "h").where((F.col("c") != F.col("d")) & reaches(F.least("n", "m"), F.col("n") + F.col("m")))
+    swap = F.col("t") < F.col("u")
+    first = written(first.select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("c"), F.when(swap, F.col("d")).otherwise(F.col("c")).alias("d")).distinct(), "first-pairs")
+    links = written(_similar(first, _held(first.select(F.explode(F.array("t", "u")).alias("t")).distinct(), texts), spec), "first-links")
     found = components(links, "joined")
-    now = banded.join(found, banded["c"] == found["node"], "left").select("t", "n", F.coalesce("root", "c").alias("g"), "c", "h")
-    now = written(now.select("t", "n", F.col("g").alias("c"), F.col("c").alias("old"), "h"), "regrouped")
+    now = banded.join(found, banded["c"] == found["node"], "left").select("t", "n", F.coalesce("root", "c").alias("c"), F.col("c").alias("old"), "h")
+    now = written(now, "regrouped")
     rest = written(now.join(shared(now).select("h"), "h", "left_semi"), "rest")
-    other = rest.select(F.col("t").alias("u"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("old").alias("d"), "h")
-    second = rest.join(other, "h").where((F.col("t") < F.col("u")) & (F.col("c") != F.col("e")) & alike).select("t", "u", F.col("old").alias("c"), "d").distinct()
+    asked = written(rest.select("t").distinct(), "asked")
+    held = _held(asked, texts)
+    about = signed.join(asked, "t", "left_semi").dropDuplicates(["t"]).join(_alone(held, spec), "t", "left")
+    about = written(about.select("t", "bands", "least", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "about")
+    rest = written(rest.join(about, "t"), "rest")
+    other = rest.select(F.col("t").alias("u"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("old").alias("d"), "h", F.col("bands").alias("bands2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    near = (F.col("t") < F.col("u")) & (F.col("c") != F.col("e")) & reaches(F.least("most", "most2"), F.col("n") + F.col("m"))
+    near &= F.aggregate(F.zip_with("least", "least2", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) >= spec.agreeing
+    near &= F.array_min(F.array_intersect("bands", "bands2")) == F.col("h")  # a pair meets in one of its bands only
+    second = rest.join(other, "h").where(near).select("t", "u", F.col("old").alias("c"), "d")
     second = written(second.join(first.select("t", "u"), ["t", "u"], "left_anti"), "second-pairs")
-    return components(links.unionByName(written(_similar(second, texts, spec), "second-links")), "joined")
+    return components(links.unionByName(written(_similar(second, held, spec), "second-links")), "joined")
