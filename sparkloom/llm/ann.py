@@ -232,52 +232,55 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, spec: Lists | None
     dim = sizes["d"]
     rows = rows.where(F.size("_v") == dim)
 
-    def equals(some: DataFrame, most: int) -> DataFrame:
-        order = Window.partitionBy("_h", "_v").orderBy("_id")
-        first = some.dropDuplicates(["_id", "_h", "_v"]) if most > 1 else some
-        first = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-        return first.groupBy("_h", "_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")).withColumn("_id", F.get("_ids", F.lit(0)))
-
-    distinct = written(equals(rows.select("_id", "_h", "_v"), k + 1).select("_id", "_ids", "_v"), "distinct")
+    # Equal vectors are one class, known by a number of its own, as ids may stand for several vectors. k + 1 of its ids are enough for any query.
+    order = Window.partitionBy("_h", "_v").orderBy("_id")
+    first = rows.select("_id", "_h", "_v").dropDuplicates(["_id", "_h", "_v"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    classes = first.groupBy("_h", "_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")).withColumn("_id", F.get("_ids", F.lit(0)))
+    classes = written(classes.withColumn("_c", F.monotonically_increasing_id()), "classes")
+    distinct = classes.select("_c", "_id", "_ids", "_v")
     graph = fit(distinct, distinct.count(), dim, spec)
     postings = written(_listed(distinct, graph, spec.replicate, spec.beam, spec.copies), "postings")
-    asked = written(equals(rows.where("_q").select("_id", "_h", "_v"), 1).select(F.col("_id").alias("_query"), "_h", "_v"), "asked")
+    members = rows.where("_q").select(F.col("_id").alias("query_id"), "_h", "_v").distinct()
+    members = written(members.join(classes.select("_h", "_v", F.col("_c").alias("_query")), ["_h", "_v"]).select("query_id", "_query"), "members")
+    asked = distinct.join(members.select(F.col("_query").alias("_c")).distinct(), "_c", "left_semi").select(F.col("_c").alias("_query"), "_v")
     beam = max(spec.beam, int(np.ceil(spec.beam_share * len(graph.c))))
     own = np.zeros(len(graph.c), np.int64)
     for r in postings.where("_near").groupBy("_list").count().collect():
         own[r["_list"]] = r["count"]
-    probes = written(_listed(asked.select("_query", "_v"), graph, spec.probe, beam, beam, own, k + 1), "probes")
+    probes = written(_listed(asked, graph, spec.probe, beam, beam, own, k + 1), "probes")
 
     # One row per list, of which there are at most max_lists: small enough to broadcast at any size of the input.
     parts = lambda df, name: df.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / spec.block).cast("int").alias(name))
     cuts = F.broadcast(parts(postings, "_rows").join(parts(probes, "_asks"), "_list"))
-    left = postings.join(cuts, "_list").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_rows")).cast("int")).withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)))
+    left = postings.join(cuts, "_list").withColumn("_part", F.pmod(F.xxhash64("_c"), F.col("_rows")).cast("int")).withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)))
     right = probes.join(cuts, "_list").withColumn("_ask", F.pmod(F.xxhash64("_query"), F.col("_asks")).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
-    left, right = left.select("_list", "_part", "_ask", "_id", "_ids", "_v"), right.select("_list", "_part", "_ask", "_query", "_v")
+    left, right = left.select("_list", "_part", "_ask", "_c", "_id", "_ids", "_v"), right.select("_list", "_part", "_ask", "_query", "_v")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"_query": [], "_id": [], "_ids": [], "score": []}
+        out: dict[str, list] = {"_query": [], "_c": [], "_id": [], "_ids": [], "score": []}
         if a.num_rows and b.num_rows:
             x, ids, lists = _matrix(a.column("_v").combine_chunks()), a.column("_id").to_numpy(), a.column("_ids").combine_chunks()
+            own = a.column("_c").to_numpy()
             y, asks = _matrix(b.column("_v").combine_chunks()), b.column("_query").to_numpy()
             for q, v in zip(asks.tolist(), y, strict=True):
                 d = np.sqrt(((x - v) ** 2).sum(axis=1))
                 best = np.lexsort((ids, d))[: k + 1] if len(d) <= 4 * k else _smallest(d, ids, k + 1)
                 out["_query"] += [q] * len(best)
+                out["_c"] += own[best].tolist()
                 out["_id"] += ids[best].tolist()
                 out["_ids"] += lists.take(pa.array(best)).to_pylist()
                 out["score"] += d[best].tolist()
-        return pa.table(out, schema=pa.schema([("_query", pa.int64()), ("_id", pa.int64()), ("_ids", pa.list_(pa.int64())), ("score", pa.float64())]))
+        return pa.table(out, schema=pa.schema([("_query", pa.int64()), ("_c", pa.int64()), ("_id", pa.int64()), ("_ids", pa.list_(pa.int64())), ("score", pa.float64())]))
 
     by = ["_list", "_part", "_ask"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "_query long, _id long, _ids array<long>, score double")
-    found = found.dropDuplicates(["_query", "_id"])
-    order = Window.partitionBy("_query").orderBy("score", "_id")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "_query long, _c long, _id long, _ids array<long>, score double")
+    found = found.dropDuplicates(["_query", "_c"])
+    order = Window.partitionBy("_query").orderBy("score", "_id", "_c")
     found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
-    found = found.select("_query", "score", F.explode("_ids").alias("_id")).groupBy("_query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "_id"))), 1, k + 1).alias("_near"))
-    members = rows.where("_q").select(F.col("_id").alias("query_id"), "_h", "_v").distinct().join(asked, ["_h", "_v"]).select("query_id", "_query")
+    found = found.select("_query", "score", "_c", F.explode("_ids").alias("_id")).groupBy("_query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "_id", "_c"))), 1, k + 1).alias("_near"))
     out = members.join(written(found, "found"), "_query")
-    near = F.slice(F.filter("_near", lambda n: n["_id"] != F.col("query_id")), 1, k)
+    itself = lambda n: (n["_id"] == F.col("query_id")) & (n["_c"] == F.col("_query"))
+    near = F.slice(F.filter("_near", lambda n: ~itself(n)), 1, k)
     out = out.select("query_id", F.posexplode(near).alias("_r", "_n"))
     return out.select("query_id", (F.col("_r") + 1).cast("int").alias("rank"), F.col("_n._id").alias(key), F.col("_n.score").alias("score"))
 

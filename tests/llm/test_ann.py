@@ -96,3 +96,17 @@ def test_families_that_draw_centroids_get_all_rows(spark, beam):
     expected = brute(rows, lambda i: i >= 800, 10)
     assert set(got) == set(expected) and all(len(near) == 10 for near in got.values())
     assert beam == 1 or recall(got, expected) >= 0.9
+
+
+def test_one_id_for_several_vectors(spark):
+    """Each vector of an id is a query of its own, and the others of that id are its neighbours like all rows."""
+    rows = [(100, [1.0, 2.0]), (100, [5.0, 5.0]), (1, [1.0, 2.1]), (2, [1.0, 2.2]), (1, [5.0, 5.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = []
+    for i, v in rows:
+        if i == 100:
+            near = sorted((float(np.sqrt(((np.array(w) - v) ** 2).sum())), j) for j, w in rows if (j, w) != (i, v))[:3]
+            expected += [(100, rank, j, d) for rank, (d, j) in enumerate(near, 1)]
+    for _ in range(2):
+        got = nearest(vectors.repartition(3), F.col("vec_id") == 100, 3).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
