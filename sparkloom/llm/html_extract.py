@@ -31,10 +31,11 @@ from sparkloom.llm.common import read_table, travels
 travels(__name__)
 
 #: Fixed values of HTML: elements that begin and end blocks, that have no content, whose content is raw text, and that aren't shown as text.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes plaintext script style textarea title xmp".split())
-HIDDEN = frozenset("button canvas datalist head noscript object optgroup option select svg math template".split())
+RAW = frozenset("iframe noembed noframes plaintext script style textarea title".split())
+LITERAL = frozenset(("xmp",))  # shown as it stands
+HIDDEN = frozenset("annotation annotation-xml button canvas datalist head noscript object optgroup option select svg template".split())
 #: Fixed values of HTML: an element in the first place ends an open one of the second, unless one of the third is between.
 IMPLIED = {
     "li": ("li", frozenset(("ul", "ol", "menu", "dir"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr", frozenset(("table",))),
@@ -72,11 +73,44 @@ class Block:
         self.text, self.tag, self.inherited, self.linked, self.bold = text, tag, inherited, linked, bold
 
 
+class Open:
+    """The elements that are open, innermost last, with the places of each tag's and each kind's, so that none is searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset]] = [("html", frozenset())]
+        self.places: dict[str, list[int]] = {}
+        self.kinds = {kind: [] for kind in (BLOCK, P_KEEPS, HIDDEN)}
+        self.kinds[BLOCK].append(0)
+        self.kinds[P_KEEPS].append(0)
+
+    def push(self, tag: str, inherited: frozenset) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        for kind, at in self.kinds.items():
+            if tag in kind:
+                at.append(len(self.stack))
+        self.stack.append((tag, inherited))
+
+    def cut(self, k: int) -> bool:
+        """Close all from place k on; whether a block was among them."""
+        block = self.kinds[BLOCK][-1] >= k
+        for tag, _ in self.stack[k:]:
+            self.places[tag].pop()
+        for at in self.kinds.values():
+            while at and at[-1] >= k:
+                at.pop()
+        del self.stack[k:]
+        return block
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks that have text, in order."""
-    stack: list[tuple[str, frozenset]] = [("html", frozenset())]
-    out: list[Block] = []
+    now, out = Open(), []
     pieces: list[tuple[str, bool, bool]] = []
+    hidden = now.kinds[HIDDEN]
 
     def flush() -> None:
         if not pieces:
@@ -84,21 +118,20 @@ def leaf_blocks(page: str) -> list[Block]:
         text = " ".join("".join(p for p, _, _ in pieces).split())
         if text:
             linked, bold = (sum(len(p[0]) for p in pieces if p[k]) for k in (1, 2))
-            tag, inherited = next((e for e in reversed(stack) if e[0] in BLOCK), stack[0])
+            tag, inherited = now.stack[now.kinds[BLOCK][-1]]
             out.append(Block(text, tag, inherited, linked, bold))
         pieces.clear()
 
     def close(k: int) -> None:
-        if any(t in BLOCK for t, _ in stack[k:]):
+        if now.kinds[BLOCK][-1] >= k:
             flush()
-        del stack[k:]
+        now.cut(k)
 
-    def say(text: str) -> None:
-        if text and hidden == 0:
-            tags = [t for t, _ in stack[-6:]]
-            pieces.append((html.unescape(text), "a" in tags, "b" in tags or "strong" in tags))
+    def say(text: str, plain: bool = False) -> None:
+        if text and not hidden:
+            pieces.append((text if plain else html.unescape(text), bool(now.places.get("a")), bool(now.places.get("b") or now.places.get("strong"))))
 
-    at, hidden, end = 0, 0, len(page)
+    at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -110,53 +143,49 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            hidden = sum(t in HIDDEN for t, _ in stack) if hidden else 0
+            if now.places.get(tag):
+                close(now.places[tag][-1])
             continue
-        if tag in RAW:
+        if tag in RAW or tag in LITERAL:
             if tag != "plaintext":
-                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                over = _raw_end(tag).search(page, at)
+                if tag in LITERAL:
+                    flush()
+                    say(page[at : over.start() if over else end], plain=True)
+                    flush()
                 at = over.end() if over else end
             continue
         if tag == "br":
-            if hidden == 0:
+            if not hidden:
                 pieces.append((" ", False, False))
             continue
         if tag in BLOCK:
-            if hidden and any(t == "head" for t, _ in stack):
-                close(next(k for k, e in enumerate(stack) if e[0] == "head"))
-                hidden = 0
+            if hidden and now.places.get("head"):
+                close(now.places["head"][-1])
             flush()
-            if tag in P_ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in P_KEEPS:
-                        break
+            if tag in P_ENDS and (k := now.last(("p",))) > now.kinds[P_KEEPS][-1]:
+                close(k)
         if tag in IMPLIED:
             ended, between = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended.split():
-                    close(k)
-                    break
-                if stack[k][0] in between:
-                    break
+            if (k := now.last(ended.split())) > now.last(between):
+                close(k)
+        elif tag == "a" and (k := now.last(("a",))) > now.kinds[BLOCK][-1]:
+            close(k)  # a link ends an open one
         if tag in VOID:
             continue
-        inherited = stack[-1][1]
+        inherited = now.stack[-1][1]
         if tag in BLOCK or tag in HIDDEN or m[3]:
             inherited = inherited.union(_own_features(tag, m[3]))
-        stack.append((tag, inherited))
-        if tag in HIDDEN:
-            hidden += 1
+        now.push(tag, inherited)
     flush()
     return out
 
 
+@lru_cache(16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
 _WORD = re.compile(r"\w+")
 _CUE = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|cookie|subscribe|newsletter|sign (?:in|up)|log ?in|privacy|terms of|advert|sponsored|share|follow us|comments?\b|repl(?:y|ies)\b|related|read more", re.I)
 

@@ -14,11 +14,11 @@ ARTICLES = ['<article>{}</article>', '<article class="post">{}</article>', '<mai
 MENUS = ['<nav>{}</nav>', '<nav class="navbar">{}</nav>', '<div id="menu">{}</div>', '<div class="nav">{}</div>', '<ul class="breadcrumb">{}</ul>', '<div class="toolbar">{}</div>', '<div role="navigation">{}</div>', '<div class="pagination">{}</div>', '<div class="toc">{}</div>', '<div class="tags">{}</div>', '<ul class="menu">{}</ul>', '<div class="topbar links">{}</div>']
 HEADERS = ['<header>{}</header>', '<div id="header">{}</div>', '<header class="site-header">{}</header>', '<div class="masthead">{}</div>', '<div role="banner">{}</div>', '<div class="logo title">{}</div>', '<div class="page-header">{}</div>']
 FOOTERS = ['<footer>{}</footer>', '<div id="footer">{}</div>', '<footer class="site-footer">{}</footer>', '<div class="copyright">{}</div>', '<div class="bottom legal">{}</div>', '<div role="contentinfo">{}</div>', '<div class="page-footer">{}</div>']
-SIDEBARS = ['<aside>{}</aside>', '<div class="sidebar">{}</div>', '<div id="sidebar-right">{}</div>', '<div class="widget">{}</div>', '<div class="related">{}</div>', '<section class="related-posts">{}</section>', '<div role="complementary">{}</div>', '<div class="side column">{}</div>', '<div class="recommended popular">{}</div>', '<div class="trending more">{}</div>']
+SIDEBARS = ['<aside>{}</aside>', '<div class="sidebar">{}</div>', '<div id="sidebar-right">{}</div>', '<div class="widget">{}</div>', '<div class="related">{}</div>', '<section class="related-posts">{}</section>', '<div role="complementary">{}</div>', '<div class="side column">{}</div>', '<div class="recommended popular">{}</div>', '<div class="trending more">{}</div>', '<div class="rail">{}</div>', '<div class="right-rail secondary">{}</div>', '<div class="gutter panel">{}</div>', '<div class="module teaser">{}</div>', '<section class="suggestions further">{}</section>']
 ADVERTS = ['<div class="ad">{}</div>', '<div class="ads">{}</div>', '<div class="advert">{}</div>', '<div class="advertisement">{}</div>', '<div class="sponsored">{}</div>', '<div class="promo">{}</div>', '<div id="banner-ad">{}</div>', '<aside class="ad">{}</aside>', '<section class="promotion">{}</section>', '<div><ins class="adsby">{}</ins></div>', '<div class="ad-slot box">{}</div>', '<div class="adv commercial">{}</div>']
-NOTICES = ['<div class="cookie-notice">{}</div>', '<div id="cookies">{}</div>', '<div class="consent">{}</div>', '<div class="gdpr banner">{}</div>', '<div class="notice">{}</div>', '<div class="alert">{}</div>', '<div class="popup modal">{}</div>', '<div class="newsletter">{}</div>', '<div class="subscribe">{}</div>', '<div role="alert">{}</div>', '<div role="dialog">{}</div>', '<div class="paywall overlay">{}</div>', '<div class="cookie">{}</div>', '<dialog>{}</dialog>', '<div class="warning disclaimer">{}</div>', '<div class="login signup">{}</div>']
+NOTICES = ['<div class="cookie-notice">{}</div>', '<div id="cookies">{}</div>', '<div class="consent">{}</div>', '<div class="gdpr banner">{}</div>', '<div class="notice">{}</div>', '<div class="alert">{}</div>', '<div class="popup modal">{}</div>', '<div class="newsletter">{}</div>', '<div class="subscribe">{}</div>', '<div role="alert">{}</div>', '<div role="dialog">{}</div>', '<div class="paywall overlay">{}</div>', '<div class="cookie">{}</div>', '<dialog>{}</dialog>', '<div class="warning disclaimer">{}</div>', '<div class="login signup">{}</div>', '<div class="disclosure">{}</div>', '<div class="message info">{}</div>', '<section class="privacy policy">{}</section>', '<div class="toast snackbar">{}</div>', '<div class="disclaimer">{}</div>', '<div class="registration wall">{}</div>']
 SHARES = ['<div class="share">{}</div>', '<div class="social">{}</div>', '<ul class="share-buttons">{}</ul>', '<div class="byline meta">{}</div>', '<div class="author-bio">{}</div>']
-COMMENTS = ['<section id="comments">{}</section>', '<div class="comments">{}</div>', '<ol class="comment-list">{}</ol>', '<section class="comments">{}</section>', '<div id="disqus" class="comment-thread">{}</div>', '<div class="discussion replies">{}</div>', '<div class="responses reviews">{}</div>', '<div class="reader-comments">{}</div>']
+COMMENTS = ['<section id="comments">{}</section>', '<div class="comments">{}</div>', '<ol class="comment-list">{}</ol>', '<section class="comments">{}</section>', '<div id="disqus" class="comment-thread">{}</div>', '<div class="discussion replies">{}</div>', '<div class="responses reviews">{}</div>', '<div class="reader-comments">{}</div>', '<section id="talk">{}</section>', '<div class="feedback">{}</div>', '<div class="thread">{}</div>', '<section class="opinions voices">{}</section>', '<div class="conversation">{}</div>', '<div class="guestbook">{}</div>', '<ul class="messages">{}</ul>']
 CUES = {"menu": ["Home", "About us", "Contact", "News", "Sign in", "Log in", "Search", "Archive", "RSS"], "footer": ["© {y} {w}", "Copyright {y} {w}. All rights reserved.", "Privacy policy · Terms of use", "{w} | {w} | {w}", "(c) {y}"], "notice": ["We use cookies to improve {w}.", "Subscribe to our newsletter", "Sign up for {w}", "Please log in to read {w}", "Accept all"], "ad": ["Advertisement", "Sponsored: {w}", "Buy {w} now", "Ad"], "comment": ["Reply", "3 comments", "Leave a comment", "Posted by {w}"], "share": ["Share this", "Follow us", "Tweet", "By {w}, {y}"], "side": ["Related articles", "Read more", "Most popular", "Recent posts"]}
 
 
@@ -51,6 +51,8 @@ class Writer:
 
     def paragraph(self, label: int, long: bool = True) -> str:
         r, plain = self.r, self.sentences(1, 7) if long else self.sentences(1, 1)
+        if label and r.random() < 0.15:
+            plain = self.words(1, 6)  # a few words without a full stop
         body = self.text(plain, label)
         way = r.random()
         if way < 0.08:
@@ -67,7 +69,7 @@ class Writer:
         if r.random() < 0.8:
             title = self.text(self.words(2, 12) + r.choice(["", "", "."]), 1)
             out.append(r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<h2>{title}</h2>", f'<h1 class="title">{title}</h1>', f"<header><h1>{title}</h1></header>"]))
-        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9])):
+        for _ in range(r.choice([1, 1, 1, 2, 3, 4, 6, 9])):
             way = r.random()
             if way < 0.66:
                 out.append(f"<p>{self.paragraph(1, r.random() < 0.85)}" + r.choice(["</p>", "</p>", "</p>", ""]))
@@ -86,10 +88,23 @@ class Writer:
                 out.append(f"<figure><img src=x><figcaption>{self.text(self.words(3, 10), 1)}</figcaption></figure>")
             elif way < 0.94:
                 out.append(f"<div>{self.paragraph(1)}</div>")
+            elif way < 0.96:
+                out.append(f"<details><summary>{self.text(self.words(1, 4), 1)}</summary><p>{self.paragraph(1)}</p></details>")
+            elif way < 0.98:
+                out.append(f"<xmp>{' '.join(self.literal(1))}</xmp>")
             if r.random() < 0.12:
                 out.append(self.clutter())
+        if r.random() < 0.12:  # sources, notes: links that belong to the text
+            title = f"<h{(n := r.randint(2, 4))}>{self.text(self.words(1, 2), 1)}</h{n}>" if r.random() < 0.7 else ""
+            kind = r.choice(["ul", "ol"])
+            out.append(title + f"<{kind}>" + "".join(f"<li>{self.linked(self.words(1, 8) + r.choice(['', '.']), 1)}</li>" for _ in range(r.randint(1, 5))) + f"</{kind}>")
         return "".join(out)
 
+    def literal(self, label: int) -> list[str]:
+        plain = self.words(2, 12)
+        self.labels.append((plain, label))
+        return plain.split()
+
     def links(self) -> str:
         r = self.r
         items = [self.cue("menu") if r.random() < 0.3 else self.words(1, 3) for _ in range(r.randint(1, 8))]
@@ -149,7 +164,7 @@ class Writer:
             out.append(self.clutter())
         if r.random() < 0.25:
             out.append(self.wrapped(SIDEBARS, self.links))
-        inside, alone = r.random() < 0.2, r.random() < 0.1
+        inside, alone = r.random() < 0.2, r.random() < 0.17
         if alone:  # a page that is nothing but its text
             out, self.labels = [], []
 
@@ -157,8 +172,11 @@ class Writer:
             body = self.content()
             return body + (self.comments() if inside else "") + (f"<footer>{self.text(self.cue('footer'), 0)}</footer>" if r.random() < 0.1 else "")
 
+        if alone and r.random() < 0.35:
+            short = "".join(f"<p>{self.text(self.words(1, 6), 1)}</p>" for _ in range(r.randint(1, 2)))
+            return self.wrapped(["{}", "<html><body>{}</body></html>", "<main>{}</main>", "<article>{}</article>"], lambda: short)
         if alone or r.random() < 0.96:
-            out.append(self.wrapped(ARTICLES, article))
+            out.append(self.wrapped([*ARTICLES, *["{}"] * 8] if alone else ARTICLES, article))
         if alone:
             return self.r.choice(["{}", "<html><body>{}</body></html>"]).format(out[0])
         for _ in range(r.choice([0, 0, 0, 1])):

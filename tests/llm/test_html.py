@@ -78,3 +78,43 @@ def test_odd_rows(spark, model):
     assert got[(1, "u")] == "" and got[(2, None)] == "" and got[(3, "w")] == "Same text here, in full."
     assert len(got[(None, "v")]) == len("words of a long text. ") * 50_000 - 1
     assert H.with_main_text(pages.limit(0), model).count() == 0
+
+
+#: Pages written by hand, with layouts and class names other than those of the training pages where that matters.
+PAGES = [
+    ("<article><p>word text here</p></article>", "word text here"),
+    ("<main><p>yes indeed</p></main>", "yes indeed"),
+    ("<p>just some words</p>", "just some words"),
+    ("<article><ul><li><a>First source</a><li><a>Second source</a></ul></article>", "First source\nSecond source"),
+    ("<article><h1>On energy</h1><p>Energy is <math>E=mc2</math> they say.</p><xmp><b>code</b> &amp;</xmp></article>", "On energy\nEnergy is E=mc2 they say.\n<b>code</b> &amp;"),
+    ("<article><h1>Title of it</h1><p>Some longer text that goes on, with a stop.</p><h2>References</h2><ul><li><a href=x>Smith 2001</a><li><a href=y>Jones 2004</a></ul></article><footer>Copyright</footer>", "Title of it\nSome longer text that goes on, with a stop.\nReferences\nSmith 2001\nJones 2004"),
+    ('<article><p>Some longer text that goes on, with a stop.</p></article><section id="talk"><p>I think that this is wrong.</p><p>No, it is right, you know.</p></section>', "Some longer text that goes on, with a stop."),
+    ('<article><p>Some longer text that goes on, with a stop.</p></article><div class="feedback"><p>I think that this is wrong.</p></div><div class="rail"><p>See these other stories of ours.</p></div><div class="disclosure"><p>We may earn money by links.</p></div>', "Some longer text that goes on, with a stop."),
+    ("<details><summary>More</summary><p>Text in it, long enough.</p></details>", "More\nText in it, long enough."),
+    ("<article><p>Choose one: <button>Go</button><select><option>x</select>and then go on with it.</p><script>x()</script></article>", "Choose one: and then go on with it."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_pages_written_by_hand(model, page, text):
+    assert H.main_text(page, model) == text
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert len(H.leaf_blocks("<b>" * 8000 + "<p>x</p>" * 8000)) == 8000
+    assert len(H.leaf_blocks("<i>" * 8000 + "</u>" * 8000 + "x")) == 1
+    assert time.process_time() - began < 3
+
+
+def test_links_and_bold_text_at_any_depth():
+    deep = "<a href=x><b>" + "<i>" * 20 + "all of it" + "</i>" * 20 + "</b></a> not this"
+    block = H.leaf_blocks(f"<p>{deep}</p>")[0]
+    assert block.linked == block.bold == len("all of it")
+
+
+def test_ties_are_no_content():
+    crf = H.Crf({}, ((0.0, 0.0), (0.0, 0.0)), (0.0, 0.0))
+    assert crf.decode([["x"], ["y"]]) == [0, 0]
