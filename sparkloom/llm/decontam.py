@@ -8,7 +8,8 @@ score of a perfect copy, decides, so that edited and paraphrased copies are foun
 as well as exact ones.
 
 Test items are the bounded side: they are worked through in blocks of at most
-``block_words`` words, each block against all documents. Nothing is shuffled.
+``block_words`` words, each block against all documents, whose hits so far are
+written out before the next block is read. Nothing is shuffled.
 
 Defined cases: null and empty texts have no hits; items that are null or shorter
 than the n-gram have none either; repeated rows are judged alike; equal items
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import read_table, travels
+from sparkloom.llm.common import read_table, travels, written
 
 travels(__name__)
 
@@ -38,7 +39,8 @@ WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Alignment:
     """n: words of a seed. match, mismatch, gap: scores of the alignment. least: share of a
-    perfect copy's score from which a passage is a copy. block_words: bound on the
+    perfect copy's score from which a passage is a copy, and least_words: words that
+    must match at least, all of an item that has fewer. block_words: bound on the
     items' words that are held at once."""
 
     n: int = 3
@@ -46,6 +48,7 @@ class Alignment:
     mismatch: int = -1
     gap: int = -1
     least: float = 0.4
+    least_words: int = 6
     block_words: int = 1_000_000
 
 
@@ -153,6 +156,7 @@ def align(items: Items, seeds: dict, ids: np.ndarray, spec: Alignment) -> list[t
     for k, starts in around.items():
         item = items.words[k]
         slack = max(8, len(item) // 2)
+        least = max(spec.least, min(1.0, spec.least_words / len(item)))
         starts.sort()
         best = (0.0, 0, 0)
         low = starts[0]
@@ -161,11 +165,11 @@ def align(items: Items, seeds: dict, ids: np.ndarray, spec: Alignment) -> list[t
                 continue
             left, right = max(0, low - slack), min(len(ids), s + len(item) + slack)
             low = after
-            if spec.match * items.shared(k, ids[left:right]) / (spec.match * len(item)) < spec.least:
+            if spec.match * items.shared(k, ids[left:right]) / (spec.match * len(item)) < least:
                 continue
             score, end = smith_waterman(item, ids[left:right], spec)
             share = score / (spec.match * len(item))
-            if share >= spec.least and share > best[0]:
+            if share >= least and share > best[0]:
                 _, back = smith_waterman(item[::-1], ids[left : left + end][::-1], spec)
                 best = (share, left + end - back, left + end)
         if best[0]:
@@ -181,8 +185,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, spec: Alignment | None = No
     item_id, score (share of a perfect copy's), span in words, and seeds found."""
     spec = spec or Alignment()
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())]))
-    found = []
-    for items in item_blocks(benchmark, item_id, item_text, spec):
+    found, blocks = None, item_blocks(benchmark, item_id, item_text, spec)
+    items = next(blocks, None)
+    while items is not None:
         seeds = all_seeds(items)
 
         def hits(batches: Iterator[pa.Array], items=items, seeds=seeds) -> Iterator[pa.Array]:
@@ -191,8 +196,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, spec: Alignment | None = No
                 rows = [align(items, seeds, items.word_ids(t), spec) if t else [] for t in batch.to_pylist()]
                 yield pa.array([[dict(zip(names, h, strict=True)) for h in r] for r in rows], kind)
 
-        found.append(F.arrow_udf(_one_argument(hits), HIT)(F.col(text)))
-    return docs.withColumn(out, F.concat(*found) if found else F.array().cast(HIT))
+        own = F.arrow_udf(_one_argument(hits), HIT)(F.col(text))
+        docs = docs.withColumn(out, own if found is None else F.concat(found, own))
+        found, items = F.col(out), next(blocks, None)
+        if items is not None:  # so that no one holds more than a block
+            docs = written(docs, "hits")
+    return docs if found is not None else docs.withColumn(out, F.array().cast(HIT))
 
 
 def _one_argument(f):

@@ -38,7 +38,7 @@ CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 HEADERS = "record_id string, record_type string, target_uri string, page_id long, payload_digest string, payload_bytes long, refers_to_id string, block_bytes long, archive string, offset long"
-RECORDS = f"{HEADERS}, payload string"
+RECORDS = f"{HEADERS}, payload binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -106,13 +106,16 @@ def to_records(pages: DataFrame, date: str) -> DataFrame:
     return pages.select(F.concat(*common, tail).alias("value"))
 
 
-def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4096) -> str:
+def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4096, file_mb: int = 64) -> str:
     """Write deduplicated archives of ``pages`` (page_id, url, html) to ``path``.
 
     Headers alone are shuffled by payload digest to find what is shared; payloads
-    meet only those. records_per_file bounds a file, which a reader takes whole.
+    meet only those. A file, which a reader takes whole, has records_per_file records
+    at most, and no more than make up file_mb at the payloads' mean size.
     """
     html = F.coalesce("html", F.lit(""))
+    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0.0
+    records_per_file = max(1, min(records_per_file, int((file_mb << 20) / (mean + 600))))
     pages = pages.select("page_id", "url", "html", base32_sha1(html).alias("payload_digest"))
     shared = written(roles(pages.drop("html")), "warc-roles")
     records = to_records(pages.join(shared, "payload_digest", "left"), date)
@@ -138,7 +141,7 @@ def parse_records(stream: Iterator[bytes], archive: str) -> Iterator[dict]:
         if not fill(lambda: buffer.find(b"\r\n\r\n") >= 0):
             raise ValueError(f"{archive}: a record's header at {at} has no end")
         end = buffer.find(b"\r\n\r\n")
-        lines = bytes(buffer[:end]).decode("utf-8").split(CRLF)
+        lines = bytes(buffer[:end]).decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"{archive}: no record at {at}")
         named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -152,17 +155,20 @@ def parse_records(stream: Iterator[bytes], archive: str) -> Iterator[dict]:
 
 
 def _unpacked(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The uncompressed bytes of one or several gzip members, in pieces; what is given is looked at once."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    rest = content
-    while rest:
+    view, at = memoryview(content), 0
+    while at < len(view):
         member = zlib.decompressobj(31)
-        while rest and not member.eof:
-            yield member.decompress(rest, step)
-            rest = member.unconsumed_tail or member.unused_data
-            if not rest and not member.eof:
-                yield member.flush()
+        while at < len(view) and not member.eof:
+            piece = view[at : at + step]
+            at += len(piece)
+            while len(piece) and not member.eof:
+                yield member.decompress(piece, 4 * step)
+                piece = member.unconsumed_tail
+        at -= len(member.unused_data)
 
 
 def _number(x: str | None) -> int | None:
@@ -192,7 +198,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
             yield {
                 "record_id": h["warc-record-id"], "record_type": kind, "target_uri": h.get("warc-target-uri") or None, "page_id": _number(h.get("warc-page-id")), "payload_digest": digest,
                 "payload_bytes": len(block) if kind == "response" else _number(h.get("warc-payload-length")), "refers_to_id": h.get("warc-refers-to"), "block_bytes": len(block), "archive": archive, "offset": r["offset"],
-                "payload": block.decode("utf-8") if payloads and kind == "response" else None,
+                "payload": block if payloads and kind == "response" else None,
             }
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +214,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    kinds = {"string": pa.string(), "long": pa.int64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in (RECORDS if payloads else HEADERS).split(", ")])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("path", "content").mapInArrow(parse, RECORDS if payloads else HEADERS)
@@ -238,7 +244,7 @@ def deduplicate_archive(spark: SparkSession, source: str, target: str) -> DataFr
     """
     records = read_archive(spark, source, payloads=True)
     known = records.where("record_type = 'response'")
-    bodies = known.groupBy("payload_digest").agg(F.min("payload").alias("html"))
+    bodies = known.groupBy("payload_digest").agg(F.min("payload").alias("html")).withColumn("html", F.col("html").cast("string"))  # the same bytes, whatever their charset
     whole = records.select("page_id", F.col("target_uri").alias("url"), "payload_digest").join(bodies, "payload_digest")
     write_archive(whole, target)
     return records.drop("payload").join(bodies.select("payload_digest"), "payload_digest", "left_anti")

@@ -112,3 +112,31 @@ def test_only_copies_with_many_edits(spark):
                 truth.add((d, i))
     assert len(truth) >= 45
     assert {(g["doc_id"], h["item_id"]) for g in got for h in g["hits"]} == truth
+
+
+def test_query_against_alignment_of_all_pairs(spark, small):
+    """op5 on the small tables: every pair of document and item, aligned over the whole text."""
+    import re
+
+    spec = Alignment()
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    docs = [(r["doc_id"], words(r["text"])) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    number, truth = {}, set()
+    of = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws])
+    docs, items = [(d, of(w)) for d, w in docs if w], [(i, of(w)) for i, w in items if len(w) >= spec.n]
+    for i, item in items:
+        for d, text in docs:
+            if np.isin(item, text).sum() >= spec.least * len(item):  # else no alignment reaches the score
+                best = max(decontam.smith_waterman(item, text[at : at + 4 * len(item)], spec)[0] for at in range(0, len(text), 2 * len(item)))
+                if best >= max(spec.least, min(1.0, spec.least_words / len(item))) * spec.match * len(item):
+                    truth.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.op5_decontaminate(spark, small).collect()}
+    assert len(truth) >= 3 and got == truth
+
+
+def test_short_items_match_as_a_whole(spark):
+    items = spark.createDataFrame([(1, "what is the capital of france"), (2, "is the capital"), (3, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "berlin is the capital city of a country"), (2, "tell me what is the capital of france now"), (3, "one two three")], "doc_id long, text string")
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontam.with_hits(docs, items).collect()}
+    assert got == {1: [2], 2: [1, 2], 3: []}
