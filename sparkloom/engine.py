@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from sparkloom.catalog import Catalog
 from sparkloom.errors import QueryError
 from sparkloom.operators.joins import JoinStrategy
+from sparkloom.operators.relational import AccessLog
 from sparkloom.plans.explain import Explained, explain
 
 _LITERAL = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
@@ -31,6 +32,8 @@ class Engine:
     def __init__(self, spark: SparkSession, join_strategy: JoinStrategy | str | None = None):
         self.spark = spark
         self.catalog = Catalog(spark)
+        self.access = AccessLog()
+        self._kept: list[DataFrame] = []
         self.join_strategy = JoinStrategy.parse(join_strategy) if isinstance(join_strategy, str) else join_strategy
 
     def create_table(self, name: str, schema: T.StructType) -> bool:
@@ -47,27 +50,66 @@ class Engine:
             raise QueryError("one statement at a time")
         if not re.match(r"\(*\s*(SELECT|WITH|VALUES)\b", plain.strip(), re.I):
             raise QueryError("only SELECT statements are run")
+        text = nulls_last(text)
         if self.join_strategy is not None:
             text = self.join_strategy.hinted(text)
         try:
-            return distinct_names(self.spark.sql(text))
+            out = distinct_names(self.spark.sql(text))
+            self.access.record(*(t for t in self.catalog.names() if re.search(rf"\b{re.escape(t)}\b", plain, re.I)))
+            return out
         except (ParseException, AnalysisException) as e:
             raise QueryError(str(e)) from e
 
     def run(self, sql: str) -> tuple[DataFrame, Statistics]:
-        """The result, computed and kept in memory or on disk, with its statistics."""
+        """The result, computed and kept in memory or on disk until release(), with its statistics."""
         began = time.perf_counter()
         out = self.execute(sql)
         out._jdf.queryExecution().executedPlan()
         planned = time.perf_counter()
         out = out.persist()
+        self._kept.append(out)
         rows = out.count()
         return out, Statistics(rows, planned - began, time.perf_counter() - planned)
 
+    def release(self) -> None:
+        """Let go of the results that run() has kept."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+
     def explain(self, sql: str) -> Explained:
         return explain(self.execute(sql))
 
 
+_ORDER = re.compile(r"\b(WITHIN\s+GROUP\s*\(\s*)?ORDER\s+BY\b", re.I)
+_AFTER_ORDER = re.compile(r"\b(?:LIMIT|OFFSET|ROWS|RANGE|UNION|EXCEPT|MINUS|INTERSECT|WINDOW|CLUSTER|DISTRIBUTE)\b", re.I)
+
+
+def nulls_last(sql: str) -> str:
+    """The query with NULLS LAST at all ascending keys of ORDER BY that don't say where nulls go; for descending ones that is Spark's default."""
+    plain = _LITERAL.sub(lambda m: "x" * len(m[0]), sql)  # of the same length
+    places = []
+    for m in _ORDER.finditer(plain):
+        if m[1]:
+            continue
+        depth, at, begin = 0, m.end(), m.end()
+        while at <= len(plain):
+            c = plain[at : at + 1]
+            over = c == "" or c == ")" and depth == 0 or depth == 0 and _AFTER_ORDER.match(plain, at) and not plain[at - 1].isalnum()
+            if over or c == "," and depth == 0:
+                key = plain[begin:at].rstrip()
+                if key.strip() and not re.search(r"\b(?:DESC|NULLS\s+(?:FIRST|LAST)|ALL)\s*$", key, re.I):
+                    places.append(begin + len(key))
+                begin = at + 1
+            if over:
+                break
+            depth += (c == "(") - (c == ")")
+            at += 1
+    for p in sorted(places, reverse=True):
+        sql = f"{sql[:p]} NULLS LAST{sql[p:]}"
+    return sql
+
+
 def distinct_names(df: DataFrame) -> DataFrame:
     """``df`` with columns of equal names told apart by their tables."""
     names = [n.lower() for n in df.columns]

@@ -40,15 +40,24 @@ class JoinStrategy(enum.Enum):
 
 def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner", strategy: JoinStrategy | None = None) -> DataFrame:
     """Rows of both sides whose keys are equal; null keys match nothing. Without a strategy, Catalyst chooses by size."""
-    if strategy is not None:
-        right = right.hint(strategy.value)
     condition = None
     for a, b in keys:
         one = left[a] == right[b]
         condition = one if condition is None else condition & one
+    if strategy is not None:
+        # The hinted side is the one that a hash table is made of: the smaller one, where the kind of join leaves a choice.
+        if how == "inner" and _bytes(left) < _bytes(right):
+            left = left.hint(strategy.value)
+        else:
+            right = right.hint(strategy.value)
     return left.join(right, condition, how)
 
 
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a result's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def foreign_key_join(primary: DataFrame, foreign: DataFrame, key: str, foreign_key: str) -> DataFrame:
     """Each row of ``foreign`` with the row of ``primary`` that it refers to; without one, none."""
     return foreign.join(primary, foreign[foreign_key] == primary[key])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -60,6 +59,8 @@ SHARED: dict[str, str] = {
     "f5_between": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20",
     "f6_in": "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND p_type IN ('SMALL', 'PROMO')",
     "f7_like": "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE '%U%' AND c_mktsegment NOT LIKE 'B%'",
+    "f8_ilike": "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE '%u%' AND c_mktsegment NOT ILIKE 'b%'",
+    "f8_nulls_last": "SELECT c_custkey, x FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS x FROM customer) AS t ORDER BY x, c_custkey LIMIT 100 OFFSET 80",
     "f8_null_case_exists": "SELECT n_name, CASE WHEN n_regionkey IS NULL THEN 'none' WHEN n_regionkey > 2 THEN 'high' ELSE 'low' END AS part FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey)",
     "f9_literals": "SELECT o_orderkey FROM orders WHERE o_orderdate = DATE '1997-03-01' OR TRUE AND o_totalprice < -1 OR o_orderstatus = 'F' AND o_totalprice > 400000.5",
     "f9_no_column": "SELECT n_name FROM nation WHERE 1 = 2",
@@ -79,6 +80,7 @@ SHARED: dict[str, str] = {
     "u3_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "w1_window": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders",
     "n1_arithmetic": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity * 2 + 1 > 90 AND l_extendedprice / l_quantity < 2000 AND l_orderkey % 3 = 1",
+    "n1_power": "SELECT p_partkey, CAST(power(p_size, 2) AS BIGINT) AS square FROM part WHERE power(p_size, 2) > 400",
     "n2_dates": "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-02-29' AND o_orderdate < DATE '1996-03-02'",
 }
 
@@ -97,15 +99,8 @@ def s1_mask(spark, d):
     return rows.select("p_partkey", F.col(f"`{relational.MASK}`").alias("mask"))
 
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def s2_tbl(spark, d):
-    rows, path = table(spark, d, "customer"), _folder(spark)
+    rows, path = table(spark, d, "customer"), tables.scratch(spark)
     tables.write_tbl(rows, path)
     return tables.read_tbl(spark, path, rows.schema)
 
@@ -126,12 +121,24 @@ def s4_insert(spark, d):
 
 def s6_pairs(spark, d):
     supplier, customer = table(spark, d, "supplier"), table(spark, d, "customer")
-    return joins.general_join(_keyed(supplier, "s_nationkey", "s_name"), _keyed(customer, "c_nationkey", "c_name"))
+    path = tables.scratch(spark)
+    tables.write_pairs(_keyed(supplier, "s_nationkey", "s_name"), _keyed(customer, "c_nationkey", "c_name"), path)
+    return joins.general_join(*tables.read_pairs(spark, path))
+
+
+def s3_load_tbl(spark, d):
+    folder, schemas = tables.scratch(spark), {}
+    for name in tables.TABLES:
+        rows = table(spark, d, name)
+        tables.write_tbl(rows, f"{folder}/{name}.tbl")
+        schemas[name] = rows.schema
+    loaded = tables.load_all(spark, folder, schemas=schemas)
+    return loaded["orders"].join(loaded["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_name")
 
 
 def _sink(form: str) -> Query:
     def run(spark, d):
-        rows, path = table(spark, d, "supplier"), _folder(spark)
+        rows, path = table(spark, d, "supplier"), tables.scratch(spark)
         tables.write_rows(rows, path, form)
         return spark.read.schema(rows.schema).format(form).load(path)
 
@@ -232,7 +239,7 @@ def bdb3(spark, d):
 
 
 def st_events(spark, d):
-    rows = events.run_once(events.hourly(events.event_stream(spark, f"{d}/events.parquet")), _folder(spark))
+    rows = events.run_once(events.hourly(events.event_stream(spark, f"{d}/events.parquet")), tables.scratch(spark))
     return spark.read.schema("hour timestamp, event_type string, n bigint, cents bigint").parquet(rows).withColumn("hour", F.unix_timestamp("hour"))
 
 
@@ -249,6 +256,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "s1_mask": (s1_mask, "SELECT p_partkey, p_size > 25 AS mask FROM part"),
     "s2_tbl": (s2_tbl, "SELECT * FROM customer"),
     "s3_load_all": (s3_load_all, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in tables.TABLES)),
+    "s3_load_tbl": (s3_load_tbl, "SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "s4_insert": (s4_insert, "SELECT * FROM (VALUES (1::BIGINT, 'a', 1.5::DOUBLE), (2, 'b', NULL), (3, NULL, 2.5)) AS t(id, name, price)"),
     "s5_parquet": (lambda spark, d: table(spark, d, "events"), "SELECT * FROM events"),
     "s6_pairs": (s6_pairs, GENERAL.format("s_name", "c_name")),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,16 @@ from sparkloom.errors import SourceError
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path where all executors can write and read: under ``spark.checkpoint.dir``, or, on one machine, a folder made here."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SourceError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,17 +60,45 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.select(*columns)
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, text) of the lines for which read_tbl fails; line counts from 1 within the file.
+
+    Lines are numbered within their split of the file, and splits by the lines before them, so that no file is read as one.
+    """
+    n = len(schema.fields)
+    parts = F.split(F.regexp_replace(F.rtrim("value"), r"\|$", ""), r"\|", -1)
+    bad = F.size(parts) != n
+    for i, f in enumerate(schema.fields):
+        text = F.trim(F.get(parts, F.lit(i)), F.lit(" \t\r"))
+        if not isinstance(f.dataType, T.StringType):
+            bad |= F.coalesce((text != "") & text.try_cast(f.dataType).isNull(), F.lit(False))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("_bad", bad & (F.length(F.trim("value")) > 0))
+    sizes = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    ahead = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    found = lines.where("_bad").join(sizes, ["file", "_split"])  # a split's ids follow one another
+    return found.select("file", (F.col("_ahead") + F.col("_at") - F.col("_first") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def write_tbl(table: DataFrame, path: str) -> None:
     """The counterpart of read_tbl; nulls are written as empty values."""
     line = F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|")) for c in table.columns])
     table.select(line.alias("value")).write.text(path)
 
 
-def load_all(spark: SparkSession, sf_dir: str, expected: dict[str, int] | None = None, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
-    """All tables, in order; with expected counts, a table of another size raises."""
+def load_all(spark: SparkSession, sf_dir: str, expected: dict[str, int] | None = None, names: tuple[str, ...] = TABLES, schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """All tables, in order; with expected counts, a table of another size raises. A table in ``schemas`` is
+    read from its ``.tbl`` file, whose first line that doesn't fit raises with the file's name and the line's number."""
     out = {}
     for name in names:
-        out[name] = read_parquet(spark, sf_dir, name)
+        if schemas and name in schemas:
+            path = f"{sf_dir}/{name}.tbl"
+            if bad := bad_lines(spark, path, schemas[name]).orderBy("file", "line").first():
+                raise SourceError(f"{bad['file']}:{bad['line']}: {bad['text'][:200]}")
+            out[name] = read_tbl(spark, path, schemas[name])
+        else:
+            out[name] = read_parquet(spark, sf_dir, name)
         if expected and name in expected and (n := out[name].count()) != expected[name]:
             raise SourceError(f"{name} has {n} rows, not {expected[name]}")
     return out
@@ -86,6 +126,16 @@ def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
+def write_pairs(first: DataFrame, second: DataFrame, path: str) -> None:
+    """The counterpart of read_pairs, of two tables of (key, data)."""
+    spark = first.sparkSession
+    head = spark.createDataFrame([(0, f"{first.count()} {second.count()}"), (1, "")], "part int, value string")
+    line = F.concat(F.col("key").cast("string"), F.lit(" "), F.coalesce(F.col("data").cast("string"), F.lit("")))
+    for part, rows in ((2, first), (3, second)):
+        head = head.unionByName(rows.select(F.lit(part).alias("part"), line.alias("value")))
+    head.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+
+
 def write_rows(table: DataFrame, path: str, form: str = "parquet", **options) -> None:
     """Write as parquet, json, csv or orc; a folder that exists is an error."""
     writer = table.write.format(form)

@@ -141,3 +141,28 @@ def test_builder_and_ddl(spark):
     with pytest.raises(SchemaError):
         TableBuilder(schema).insert_row((1, "x"))
     assert [ddl(f) for f in schema] == ["a BIGINT NOT NULL PRIMARY KEY", "b STRING UNIQUE", "c DOUBLE NOT NULL"]
+
+
+def test_nulls_come_last_unless_asked_otherwise(spark):
+    from sparkloom.engine import nulls_last
+
+    engine = Engine(spark)
+    spark.createDataFrame([(1, 2), (2, None), (3, 1)], "id int, x int").createOrReplaceTempView("with_nulls")
+    ids = lambda sql: [r["id"] for r in engine.execute(sql).collect()]
+    assert ids("SELECT id, x FROM with_nulls ORDER BY x") == [3, 1, 2]
+    assert ids("SELECT id, x FROM with_nulls ORDER BY x DESC") == [1, 3, 2]
+    assert ids("SELECT id, x FROM with_nulls ORDER BY x NULLS FIRST, id LIMIT 2") == [2, 3]
+    assert ids("SELECT id, x FROM with_nulls ORDER BY coalesce(x, NULL), 'a, b' ASC LIMIT 2") == [3, 1]
+    assert [r["n"] for r in engine.execute("SELECT id, row_number() OVER (ORDER BY x) AS n FROM with_nulls ORDER BY id").collect()] == [2, 3, 1]
+    assert nulls_last("SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY x) FROM t") == "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY x) FROM t"
+    assert nulls_last("SELECT 'ORDER BY x' FROM t ORDER BY a, b DESC LIMIT 1") == "SELECT 'ORDER BY x' FROM t ORDER BY a NULLS LAST, b DESC LIMIT 1"
+
+
+def test_queries_are_recorded_and_results_released(spark):
+    engine = Engine(spark)
+    engine.catalog.add("seen_once", spark.range(3).toDF("id"))
+    out, _ = engine.run("SELECT * FROM seen_once")
+    assert out.storageLevel.useMemory and engine.access.queries == 1 and engine.access.touched == {"seen_once": 1}
+    engine.release()
+    assert not out.storageLevel.useMemory
+    engine.catalog.clear()

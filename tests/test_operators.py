@@ -100,3 +100,44 @@ def test_type_rules():
     assert R.comparable(i, d) and R.comparable(T.VarcharType(3), s) and not R.comparable(i, day)
     with pytest.raises(TypeRuleError):
         R.rank(T.BinaryType())
+
+
+def test_hash_join_is_built_on_the_smaller_side(spark, small):
+    from sparkloom.operators.joins import JoinStrategy, equi_join
+    from sparkloom.sources.tables import read_parquet
+
+    few, many = read_parquet(spark, small, "customer"), read_parquet(spark, small, "orders")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" in plan(equi_join(few, many, [("c_custkey", "o_custkey")], strategy=JoinStrategy.HASH))
+    assert "BuildRight" in plan(equi_join(many, few, [("o_custkey", "c_custkey")], strategy=JoinStrategy.HASH))
+
+
+def test_first_bad_line_is_named(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sparkloom.errors import SourceError
+    from sparkloom.sources import tables
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    (tmp_path / "good.tbl").write_text("1|a|\n\n2|b\n")
+    (tmp_path / "bad.tbl").write_text("1|a|\n\n2|b|\nx|c|\n4|d|e|\n")
+    load = lambda name: tables.load_all(spark, f"file://{tmp_path}", names=(name,), schemas={name: schema})
+    assert load("good")["good"].count() == 2
+    with pytest.raises(SourceError, match=r"bad\.tbl:4: x\|c"):
+        load("bad")
+    assert [r["line"] for r in tables.bad_lines(spark, f"file://{tmp_path}/bad.tbl", schema).orderBy("line").collect()] == [4, 5]
+
+
+def test_folders_must_be_shared_on_a_cluster():
+    from sparkloom.errors import SourceError
+    from sparkloom.sources.tables import scratch
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert scratch(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/"})).startswith("hdfs://x/")
+    assert scratch(Session(**{"spark.master": "local[4]"})).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(SourceError):
+            scratch(Session(**{"spark.master": master}))
