@@ -129,6 +129,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def tops(label: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The tree's root of each of ``nodes``; label: every node's parent, roots are their own."""
+    while True:
+        up = label[nodes]
+        if np.array_equal(up, nodes):
+            return nodes
+        nodes = up
+
+
 def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> tuple[np.ndarray, np.ndarray]:
     """(child, root): a spanning forest of the fingerprints that share variants of this bucket, each with its tree's root."""
     values = np.unique(values)
@@ -171,8 +180,10 @@ def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> t
         a, b = first[where], node
         near = np.bitwise_count(held[a] ^ held[b]) <= spec.radius
         a, b = a[near], b[near]
-        known = np.arange(len(held))
-        label = forest(len(held), np.concatenate([a, known]), np.concatenate([b, label]))
+        a, b = tops(label, a), tops(label, b)
+        touched, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label[touched] = touched[forest(len(touched), places[: len(a)], places[len(a) :])]
+    label = tops(label, label)
     child = np.flatnonzero(label != np.arange(len(held)))
     return held[child], held[label[child]]
 
