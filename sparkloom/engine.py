@@ -15,6 +15,7 @@ from sparkloom.errors import QueryError
 from sparkloom.operators.joins import JoinStrategy
 from sparkloom.operators.relational import AccessLog
 from sparkloom.plans.explain import Explained, explain
+from sparkloom.profiler import Profiler
 
 _LITERAL = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 
@@ -33,6 +34,7 @@ class Engine:
         self.spark = spark
         self.catalog = Catalog(spark)
         self.access = AccessLog()
+        self.profiler = Profiler(spark, enabled=False)
         self._kept: list[DataFrame] = []
         self.join_strategy = JoinStrategy.parse(join_strategy) if isinstance(join_strategy, str) else join_strategy
 
@@ -63,12 +65,15 @@ class Engine:
     def run(self, sql: str) -> tuple[DataFrame, Statistics]:
         """The result, computed and kept in memory or on disk until release(), with its statistics."""
         began = time.perf_counter()
-        out = self.execute(sql)
-        out._jdf.queryExecution().executedPlan()
-        planned = time.perf_counter()
-        out = out.persist()
-        self._kept.append(out)
-        rows = out.count()
+        with self.profiler.scope("run"):
+            with self.profiler.scope("plan"):
+                out = self.execute(sql)
+                out._jdf.queryExecution().executedPlan()
+            planned = time.perf_counter()
+            with self.profiler.scope("execute"):
+                out = out.persist()
+                self._kept.append(out)
+                rows = out.count()
         return out, Statistics(rows, planned - began, time.perf_counter() - planned)
 
     def release(self) -> None:

@@ -24,18 +24,45 @@ class JoinStrategy(enum.Enum):
         return JoinStrategy[names[name.lower()]]
 
     def hinted(self, sql: str) -> str:
-        """The query with the hint for every table that its outermost FROM names."""
-        m = re.match(r"(\s*SELECT)\b(?!\s*/\*\+)(.*)", sql, re.I | re.S)
-        found = re.search(r"\bFROM\b(.*?)(?:\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|$)", m[2], re.I | re.S) if m else None
-        if not found:
-            return sql
-        parts = re.split(r",|\b(?:INNER|LEFT|RIGHT|FULL|OUTER|CROSS|SEMI|ANTI)?\s*\bJOIN\b", found[1], flags=re.I)
-        names = [re.match(r"\s*(\w+)(?:\s+(?:AS\s+)?(?!ON\b|USING\b|NATURAL\b|LEFT\b|RIGHT\b|INNER\b|FULL\b)(\w+))?", p, re.I) for p in parts]
-        tables = [n[2] or n[1] for n in names if n]
-        if len(tables) < 2:
-            return sql
+        """The query with the hint at every SELECT, at any depth, for the tables and subqueries that its FROM names.
+
+        A SELECT with a hint of its own keeps that one; joins that Spark makes of IN and EXISTS choose for themselves.
+        """
+        plain = _QUOTED.sub(lambda m: " " * len(m[0]), sql)
         hint = {"HASH": "SHUFFLE_HASH", "SORT_MERGE": "MERGE", "BROADCAST": "BROADCAST"}[self.name]
-        return f"{m[1]} /*+ {hint}({', '.join(tables)}) */{m[2]}"
+        for m in reversed(list(re.finditer(r"\bSELECT\b", plain, re.I))):
+            tables = _relations(plain, m.end())
+            if len(tables) > 1 and not sql[m.end() :].lstrip().startswith("/*+"):
+                sql = f"{sql[: m.end()]} /*+ {hint}({', '.join(tables)}) */{sql[m.end() :]}"
+        return sql
+
+
+_QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_FROM_ENDS = re.compile(r"\b(?:WHERE|GROUP|HAVING|WINDOW|ORDER|SORT|CLUSTER|DISTRIBUTE|LIMIT|OFFSET|UNION|EXCEPT|MINUS|INTERSECT)\b", re.I)
+_SET = re.compile(r"\b(?:UNION|EXCEPT|MINUS|INTERSECT)\b", re.I)
+_JOIN = re.compile(r"\b(?:(?:NATURAL|INNER|CROSS|LEFT|RIGHT|FULL|OUTER|SEMI|ANTI)\s+)*JOIN\b", re.I)
+_RELATION = re.compile(r"\s*(?:LATERAL\b)?\s*(\w+(?:\s*\.\s*\w+)*|\x00+)(?:\s+(?:AS\s+)?(?!(?:ON|USING|TABLESAMPLE|LATERAL|PIVOT|UNPIVOT)\b)(\w+))?", re.I)
+
+
+def _relations(plain: str, start: int) -> list[str]:
+    """Names, in what follows a SELECT, by which its own FROM knows tables and subqueries."""
+    depth, flat = 0, []
+    for c in plain[start:]:
+        depth -= c == ")"
+        if depth < 0:
+            break
+        flat.append(c if depth == 0 and c != ")" else "\x00")
+        depth += c == "("
+        if c == "(":
+            flat[-1] = "\x00"
+    own = "".join(flat)
+    begin = next((m.end() for m in re.finditer(r"\bFROM\b", own, re.I) if not re.search(r"\bDISTINCT\s*$", own[: m.start()], re.I)), None)
+    if begin is None or _SET.search(own[:begin]):  # the FROM of another SELECT
+        return []
+    end = _FROM_ENDS.search(own, begin)
+    found = [_RELATION.match(part) for part in re.split(",|" + _JOIN.pattern, own[begin : end.start() if end else None], flags=re.I)]
+    names = [m[2] or m[1] for m in found if m]
+    return [n.split(".")[-1].strip() for n in names if "\x00" not in n]
 
 
 def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner", strategy: JoinStrategy | None = None) -> DataFrame:

@@ -166,3 +166,67 @@ def test_queries_are_recorded_and_results_released(spark):
     engine.release()
     assert not out.storageLevel.useMemory
     engine.catalog.clear()
+
+
+@pytest.mark.parametrize(
+    ("sql", "hints"),
+    [
+        ("SELECT * FROM a JOIN b ON a.x = b.x", ["MERGE(a, b)"]),
+        ("SELECT * FROM s.a AS p, b q WHERE p.x = q.x ORDER BY 1", ["MERGE(p, q)"]),
+        ("SELECT x FROM (SELECT c.x FROM c LEFT SEMI JOIN d USING (x)) t CROSS JOIN a", ["MERGE(t, a)", "MERGE(c, d)"]),
+        ("WITH w AS (SELECT * FROM a, b) SELECT extract(YEAR FROM y), x IS DISTINCT FROM z FROM w NATURAL JOIN c", ["MERGE(a, b)", "MERGE(w, c)"]),
+        ("SELECT 'FROM a, b' FROM a WHERE x IN (SELECT x FROM b, c GROUP BY x, y)", ["MERGE(b, c)"]),
+        ("SELECT 1 AS n UNION ALL SELECT x FROM a, b", ["MERGE(a, b)"]),
+        ("SELECT /*+ BROADCAST(a) */ * FROM a, b", ["BROADCAST(a)"]),
+        ("SELECT 1", []),
+    ],
+)
+def test_hints_at_every_depth(sql, hints):
+    import re
+
+    assert re.findall(r"/\*\+ (.*?) \*/", JoinStrategy.SORT_MERGE.hinted(sql)) == hints
+
+
+def test_strategy_reaches_joins_within_subqueries(spark, engine):
+    sql = "SELECT count(*) AS n FROM (SELECT p.id FROM people p JOIN towns t ON p.id = t.id) j JOIN towns u ON j.id = u.id"
+    merged = Engine(spark, "sort_merge").explain(sql).detailed
+    assert "SortMergeJoin" in merged and "BroadcastHashJoin" not in merged
+    hashed = Engine(spark, "hash").explain(sql).detailed
+    assert "ShuffledHashJoin" in hashed and "BroadcastHashJoin" not in hashed
+    assert engine.execute(sql).collect() == Engine(spark, "sort_merge").execute(sql).collect()
+
+
+def test_profiler_adds_up_scopes(spark, engine):
+    e = Engine(spark)
+    e.run("SELECT 1 AS x")
+    assert not e.profiler.scopes
+    e.profiler.enabled = True
+    for _ in range(2):
+        e.run("SELECT id FROM people")
+    with pytest.raises(QueryError):
+        e.run("SELECT nothing FROM people")
+    e.release()
+    assert {p: s.calls for p, s in e.profiler.scopes.items()} == {"run": 3, "run/plan": 3, "run/execute": 2}
+    assert e.profiler.scopes["run"].seconds >= e.profiler.scopes["run/execute"].seconds > 0
+    assert len(e.profiler.report().splitlines()) == 3
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
+    e.profiler.reset()
+    assert e.profiler.report() == ""
+
+
+def test_bench_arguments_and_export(tmp_path):
+    import json
+
+    import bench
+
+    args = bench.arguments(["--queries", "q01", "q06", "--runs", "2", "--output", "x.csv"])
+    assert (args.names, args.operators, args.runs) == (["q01", "q06"], [], 2)
+    assert bench.arguments([]).names == list(bench.HEADLINE)
+    for wrong in (["--queries", "no_such"], ["--runs", "0"], ["--output", "x.txt"]):
+        with pytest.raises(SystemExit):
+            bench.arguments(wrong)
+    times = {"q01": [0.5, 0.25]}
+    bench.export(str(tmp_path / "t.csv"), times)
+    assert (tmp_path / "t.csv").read_text().split() == ["query,run,seconds", "q01,1,0.5", "q01,2,0.25"]
+    bench.export(str(tmp_path / "t.json"), times)
+    assert json.loads((tmp_path / "t.json").read_text())[1] == {"query": "q01", "run": 2, "seconds": 0.25}
