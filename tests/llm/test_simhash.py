@@ -117,3 +117,22 @@ def test_odd_rows(odd, clashing, nothing, odd_rows):
         expected = list(zip([r[0] for r in odd_rows], values, slow_components([r[0] for r in odd_rows], values, 4), strict=True))
         assert sorted(rows, key=str) == sorted(expected, key=str)
     assert simhash.near_duplicates(nothing).select(F.col("component")).count() == 0
+
+
+def test_trees_are_the_same_whatever_the_number_of_parts():
+    rng = np.random.default_rng(5)
+    chain = np.bitwise_xor.accumulate(np.uint64(1) << rng.permutation(64).astype(np.uint64)[:40])
+    near = rng.integers(0, 2**63, 60, np.uint64)
+    values = np.concatenate([chain, near, near ^ np.uint64(0b1011), near ^ np.uint64(1 << 60), rng.integers(0, 2**63, 200, np.uint64)])
+    groups = []
+    for variants in (10_000_000, 40_000, 2_000):
+        a, b = (np.concatenate(x) for x in zip(*(simhash.bucket_links(values, k, 2, simhash.SimHash(variants=variants)) for k in range(4)), strict=True))
+        known = np.unique(values)
+        label = simhash.forest(len(known), np.searchsorted(known, a), np.searchsorted(known, b))
+        groups.append(known[label].tolist())
+    assert groups[0] == groups[1] == groups[2]
+    known = np.unique(values)
+    pairs = np.argwhere(np.bitwise_count(known[:, None] ^ known[None, :]) <= 4)
+    assert groups[0] == known[simhash.forest(len(known), pairs[:, 0], pairs[:, 1])].tolist()
+    label = np.array([0, 0, 1, 3, 2])
+    assert simhash.tops(label, np.array([4, 3, 2])).tolist() == [0, 3, 0]
