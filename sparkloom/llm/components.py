@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
@@ -11,20 +11,31 @@ from sparkloom.llm.common import written
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge to another; edges: (a, b).
 
-    In each round a node picks the neighbour (itself included) whose hash for that
-    round is smallest, and every edge is mapped by these picks. A component stays
-    connected and keeps its nodes' picks as a chain; as the order is new in each
-    round, a constant share of the nodes goes, whatever the graph's shape. Minima
-    are aggregated partially, and joins have an exchange directly below each side,
-    so that a hub's edges can be split. Nulls and loops are no edges.
+    In the first round a node picks the neighbour (itself included) that has most
+    neighbours, so that stars end there; in each later one that whose hash for the
+    round is smallest. Every edge is mapped by these picks. A component stays
+    connected and keeps its nodes' picks as a chain; as the order of hashes is new
+    in each round, a constant share of the nodes goes, whatever the graph's shape.
+    Minima are aggregated partially, and joins have an exchange directly below each
+    side, so that a hub's edges can be split. Nulls and loops are no edges.
     """
     live = written(edges.where("a <> b").select("a", "b").distinct(), label)
     picks: list[DataFrame] = []
     while not live.isEmpty():
-        rank = F.xxhash64(F.col("v"), F.lit(len(picks)))
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        best = both.groupBy("u").agg(F.min(F.struct(rank.alias("r"), F.col("v"))).alias("m"))
-        own = F.struct(F.xxhash64(F.col("u"), F.lit(len(picks))).alias("r"), F.col("u").alias("v"))
+        degree = F.lit(0).cast("long")
+        if not picks:
+            degrees = written(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), label)
+            both = both.join(degrees.select(F.col("u").alias("v"), "n"), "v")
+            degree = F.col("n")
+
+        def ranked(name: str, n: Column) -> Column:
+            return F.struct((-n).alias("d"), F.xxhash64(F.col(name), F.lit(len(picks))).alias("r"), F.col(name).alias("v"))
+
+        best = both.groupBy("u").agg(F.min(ranked("v", degree)).alias("m"))
+        if not picks:
+            best = best.join(degrees, "u")
+        own = ranked("u", degree)
         pick = written(best.select(F.col("u").alias("node"), F.least(F.col("m"), own)["v"].alias("to")), label)
         picks.append(pick)
         half = live.join(pick, live["a"] == pick["node"]).select(F.col("to").alias("x"), F.col("b"))

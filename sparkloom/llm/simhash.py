@@ -139,7 +139,7 @@ def tops(label: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """(child, root): a spanning forest of the fingerprints that share variants of this bucket, each with its tree's root."""
+    """(child, root): a spanning forest of the fingerprints that share variants of this bucket, each with its tree's smallest."""
     values = np.unique(values)
     extra = 0
     whole = len(Dealing(spec.radius, 0, spec.seed).masks)
@@ -184,15 +184,19 @@ def bucket_links(values: np.ndarray, bucket: int, bits: int, spec: SimHash) -> t
         touched, places = np.unique(np.concatenate([a, b]), return_inverse=True)
         label[touched] = touched[forest(len(touched), places[: len(a)], places[len(a) :])]
     label = tops(label, label)
-    child = np.flatnonzero(label != np.arange(len(held)))
-    return held[child], held[label[child]]
+    # The smallest value is mostly the same one in all buckets, so that their trees fall into one star.
+    least = held.copy()
+    np.minimum.at(least, label, held)
+    root = least[label]
+    child = np.flatnonzero(held != root)
+    return held[child], root[child]
 
 
 def links(values: DataFrame, spec: SimHash, column: str = "fingerprint") -> DataFrame:
     """Edges (a, b) whose components are those of all links; values: distinct fingerprints.
 
     Each bucket gives a spanning forest of what is linked within it, each fingerprint
-    with its tree's smallest place, so that a large group gives no more edges than
+    with its tree's smallest, so that a large group gives no more edges than
     it has members; an edge's two need not be linked directly.
     """
     bits = deal_bits(values.count(), spec)
