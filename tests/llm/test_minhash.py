@@ -69,3 +69,36 @@ def test_shingles_are_those_of_words():
     for a, b in [("a b c d e f g", "A  b c d e f\nh"), ("x y", "x y"), ("x y", "y x"), ("a b c d e", "a b c d e a b c d e")]:
         assert minhash.jaccard(*(minhash.shingles(t.encode(), 5) for t in (a, b))) == slow_jaccard(a, b)
     assert len(minhash.shingles(b" \n", 5)) == 0
+
+
+def near_copies(n, parts, seed):
+    """n copies of one text, each with as many replaced words as ``parts`` says by turns, and texts that a copy of them differs from in one word."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(n):
+        copy = list(base)
+        for at in r.sample(range(150), parts[k % len(parts)]):
+            copy[at] = word()
+        texts.append(copy)
+        if k % 10 == 0:
+            texts.append([*copy[:-1], word()])
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("parts, spec", [((3,), MinHash()), ((1, 2, 3, 4), MinHash(few=4))])
+def test_large_groups_of_copies_are_not_compared_pair_by_pair(spark, monkeypatch, parts, spec):
+    texts = near_copies(300, parts, 5)
+    group = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if group[i] != group[j] and slow_jaccard(a, b) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    compared, similar = [], minhash._similar
+    monkeypatch.setattr(minhash, "_similar", lambda pairs, *more: (compared.append(pairs.count()), similar(pairs, *more))[1])
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "t long, r long, text string")
+    found = {r["node"]: r["root"] for r in minhash.joined(rows, rows.select("t", "t").toDF("t", "c"), spec).collect()}
+    of = [found.get(i, i) for i in range(len(texts))]
+    assert len(set(zip(of, group, strict=True))) == len(set(of)) == len(set(group))
+    assert compared[1] <= len(texts) ** 2 / 10
