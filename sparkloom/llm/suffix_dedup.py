@@ -12,7 +12,7 @@ anchor stand next to each other in a document and make up one stretch of it.
    several documents are settled (equal in bucket, 32 more bits of the anchor's
    hash and 64 of the content's). Where an anchor has different stretches, two can
    share a string only if they agree on the bytes before the anchor or on those
-   after it, half a string's rest on one side; of both sides each record holds 8 bits.
+   after it, half a string's rest on one side; of both sides each record holds 16 bits.
    Stretches that agree with another document's are asked for, all of an anchor
    together, or, where that is more than a suffix array is to hold, those of one
    side. Only what is still larger is asked for string by string.
@@ -114,25 +114,26 @@ def _sides(spec: Repeats, count: np.ndarray, shift: np.ndarray) -> tuple[np.ndar
 
 
 def _context(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """8 bits of a hash of the ``width`` bytes from each place on."""
+    """16 bits of a hash of the ``width`` bytes from each place on."""
     words, out = _words(data), np.zeros(len(at), np.uint64)
     if width < 8:
         out = _mixed(words[at] & np.uint64((1 << 8 * width) - 1))
     for k in [*range(0, width - 8, 8), width - 8] if width >= 8 else ():
         out = _mixed(out * M3 + words[at + k])
-    return (out >> np.uint64(56)).astype(np.uint8)
+    return (out >> np.uint64(48)).astype(np.uint16)
 
 
 def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repeats) -> dict[str, np.ndarray]:
     """The stretches of documents that lie one after another in ``data``: doc, low
     (first string's place in the document), count (strings), shift (the anchor's place
-    in the first string), anchor and content (hashes), and at (low's place in data).
+    in the first string), anchor, content and more (hashes), and at (low's place in data). Of either side's 16 bits
+    content ends with the upper 8, and more holds the lower 8.
 
     ``data`` has 64 bytes to spare at its end.
     """
     n, span = int(start[-1] + size[-1]) if len(start) else 0, spec.length - spec.gram
     whole = np.flatnonzero(size >= spec.length)
-    empty = {k: np.zeros(0, np.int64) for k in ("doc", "low", "count", "shift", "at")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "content")}
+    empty = {k: np.zeros(0, np.int64) for k in ("doc", "low", "count", "shift", "at")} | {k: np.zeros(0, np.uint64) for k in ("anchor", "content")} | {"more": np.zeros(0, np.uint16)}
     if not len(whole):
         return empty
     parts = _mixed(_words(data) * M1 + M2)
@@ -169,12 +170,13 @@ def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, spec: Repea
     before, after = _sides(spec, count, shift)
     half, rest = span // 2, span - span // 2 + 1
     left, right = _context(data, np.where(before, place - half, 0), half), _context(data, place + spec.gram, rest)
-    content = (content & ~np.uint64(0xFFFF)) | np.where(before, left, 0).astype(np.uint64) | (np.where(after, right, 0).astype(np.uint64) << np.uint64(8))
-    return {"doc": doc, "low": low - start[doc], "count": count, "shift": shift, "anchor": hashes[place], "content": content, "at": low}
+    left, right = np.where(before, left, 0).astype(np.uint16), np.where(after, right, 0).astype(np.uint16)
+    content = (content & ~np.uint64(0xFFFF)) | (left >> 8).astype(np.uint64) | (right & 0xFF00).astype(np.uint64)
+    return {"doc": doc, "low": low - start[doc], "count": count, "shift": shift, "anchor": hashes[place], "content": content, "more": (left & 0xFF) | (right << 8), "at": low}
 
 
 #: An anchor is its bucket, which a packet is sent to, and 32 more bits; in what is asked of documents the bucket goes along.
-RECORD = [("anchor", "<u4"), ("content", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("count", "u1"), ("shift", "u1")]
+RECORD = [("anchor", "<u4"), ("content", "<u8"), ("more", "<u2"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("count", "u1"), ("shift", "u1")]
 ASKED = [*RECORD, ("bucket", "<i4")]
 DOCUMENT = [("row", "<i8"), ("id", "<i8"), ("copies", "<i8"), ("size", "<i8")]
 PLACES = {DOCS: DOCUMENT, SETTLED: [("row", "<i8"), ("id", "<i8"), ("low", "<u4"), ("mask", "<u8")], STRETCH: RECORD, ASK: ASKED, ASK_EACH: ASKED, SINGLE: [("key", "<u8"), ("key2", "<u8"), ("row", "<i8"), ("id", "<i8"), ("low", "<u4")]}
@@ -356,16 +358,17 @@ def _meet(spec: Repeats, parts: int):
         out = list(_settled(r, order[later], parts))
         # What is left of each content stands in the smallest document; one of its places is asked for, and all of them if there are several.
         r = {k: v[order[~later]] for k, v in r.items()}
-        sides = [(has, (r["content"] >> np.uint64(8 * k)) & np.uint64(0xFF)) for k, has in enumerate(_sides(spec, r["count"], r["shift"]))]
-        agree = [_agree(r, np.flatnonzero(has), byte) for has, byte in sides]
+        part = lambda name, k: (r[name].astype(np.uint64) >> np.uint64(8 * k)) & np.uint64(0xFF)
+        sides = [(has, part("content", k) << np.uint64(8) | part("more", k)) for k, has in enumerate(_sides(spec, r["count"], r["shift"]))]
+        agree = [_agree(r, np.flatnonzero(has), bits) for has, bits in sides]
         asked = np.flatnonzero(agree[0] | agree[1])
         large = np.zeros(len(r["row"]), bool)
         large[asked] = _numbers(r["anchor"][asked]) > spec.stretches
         some, each = asked[~large[asked]], np.zeros(len(large), bool)
         out += _dealt(ASK, _part(r, some, parts), {k: r[k][some] for k, _ in ASKED})
-        for k, (_, byte) in enumerate(sides):
+        for k, (_, bits) in enumerate(sides):
             some = np.flatnonzero(agree[k] & large)
-            lane = (_mixed((r["anchor"][some].astype(np.uint64) << np.uint64(16)) + (byte[some] << np.uint64(1)) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
+            lane = (_mixed((r["anchor"][some].astype(np.uint64) << np.uint64(17)) + (bits[some] << np.uint64(1)) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
             few = _numbers(lane) <= spec.stretches
             each[some[~few]] = True
             some = some[few]
@@ -387,12 +390,12 @@ def _numbers(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _agree(r: dict[str, np.ndarray], some: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """Which of ``some`` have another content and id beside them that agree in anchor and byte."""
+def _agree(r: dict[str, np.ndarray], some: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of ``some`` have another content and id beside them that agree in anchor and bits."""
     out = np.zeros(len(r["row"]), bool)
     if len(some):
-        order = some[np.lexsort((byte[some], r["anchor"][some]))]
-        start = _runs(r["anchor"][order], byte[order])
+        order = some[np.lexsort((bits[some], r["anchor"][some]))]
+        start = _runs(r["anchor"][order], bits[order])
         differ = np.ones(len(start), bool)
         for k in ("id", "content"):
             differ &= np.minimum.reduceat(r[k][order], start) != np.maximum.reduceat(r[k][order], start)

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import suffix_dedup
@@ -109,3 +110,20 @@ def test_odd_rows(odd, clashing, nothing, odd_rows):
     expected = slow([(r[0], r[1]) for r in odd_rows])
     assert found(repeated_text(odd)) == expected and found(repeated_text(clashing)) == expected
     assert repeated_text(nothing).count() == 0
+
+
+def test_stretches_of_a_common_anchor_are_not_asked_for_by_chance():
+    rng, spec, spare = np.random.default_rng(2), Repeats(), np.zeros(64, np.uint8)
+    noise = lambda n: rng.integers(0, 256, n, np.uint8)
+    some = np.concatenate([noise(50_000), spare])
+    r = suffix_dedup.stretches(some, np.zeros(1, np.int64), np.array([50_000]), spec)
+    at = (r["at"] + r["shift"])[np.argmin(r["anchor"] >> np.uint64(32))]
+    size = np.full(500, 136)
+    data = np.concatenate([*(np.concatenate([noise(60), some[at : at + 16], noise(60)]) for _ in size), spare])
+    r = suffix_dedup.stretches(data, np.cumsum(size) - size, size, spec)
+    assert np.unique(r["anchor"], return_counts=True)[1].max() > 400  # different stretches of one anchor, which share no string
+    r |= {"row": r["doc"], "id": r["doc"], "anchor": r["anchor"] >> np.uint64(32)}
+    kind = suffix_dedup.STRETCH
+    packed = suffix_dedup._batch([(kind, 0, suffix_dedup._pack(kind, r))])
+    met = suffix_dedup._meet(spec, 1)((packed["kind"][0], packed["target"][0]), pa.Table.from_batches([packed])).to_pylist()
+    assert sum(len(suffix_dedup._unpack(x["kind"], [x["packed"]])["row"]) for x in met) < 40
