@@ -62,7 +62,7 @@ class Repeats:
     documents that a task takes at a time; cut_mb: text that is cut into stretches at a time, pack_mb: that is
     compressed at a time. anchor_mb: text whose stretches make up one bucket of anchors.
     stretches: of one anchor, up to which they are sorted together. batch_mb: text
-    that is sorted in lock step."""
+    that is sorted in lock step. deal_mb: what is held before it is packed for the tasks it goes to."""
 
     length: int = 50
     gram: int = 16
@@ -73,6 +73,7 @@ class Repeats:
     anchor_mb: int = 32
     stretches: int = 64
     batch_mb: float = 1.5
+    deal_mb: int = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -300,45 +301,75 @@ def _packed(spec: Repeats, parts: int):
     return packed
 
 
-def _documents(table: pa.Table) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """(data, documents) of each packet."""
-    for packet in _packets(table):
-        more: list[np.ndarray] = []
-        d = _unpack(DOCS, [packet], more)
+def _heads(packets: list[bytes]) -> list[dict[str, np.ndarray]]:
+    """The documents of each packet, without their texts, which stay compressed."""
+    out, width = [], sum(np.dtype(t).itemsize for _, t in DOCUMENT)
+    for packet in packets:
+        with zstandard.ZstdDecompressor().stream_reader(packet) as stream:
+            n = int(np.frombuffer(stream.read(8), np.int64)[0])
+            planes, at, d = np.frombuffer(stream.read(n * width), np.uint8), 0, {}
+        for name, t in DOCUMENT:
+            size = np.dtype(t).itemsize
+            d[name] = np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).view(t).reshape(n)
+            at += n * size
         d["start"] = np.cumsum(d["size"]) - d["size"]
-        yield np.concatenate([more[0], np.zeros(64, np.uint8)]), d
+        out.append(d)
+    return out
+
+
+def _data(packet: bytes) -> np.ndarray:
+    """The texts of a packet's documents, with 64 bytes to spare."""
+    more: list[np.ndarray] = []
+    _unpack(DOCS, [packet], more)
+    return np.concatenate([more[0], np.zeros(64, np.uint8)])
+
 
+def _known(heads: list[dict[str, np.ndarray]], *rows: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """A number for each document of ``heads``, then for each of ``rows``, the same where id and hash are.
 
-def _found(known: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> np.ndarray:
-    """For each of ``r`` the place in ``known`` of the row of the same id and hash, or -1."""
-    n = len(known["row"])
-    row, own = np.concatenate([known["row"], r["row"]]), np.concatenate([known["id"], r["id"]])
+    All are sorted once: a task has a packet from every part of the input, so that work for each packet
+    on all that a task knows would grow with the square of the input.
+    """
+    parts = [np.concatenate([d[k] for d in heads]) if heads else np.zeros(0, np.int64) for k in ("row", "id")]
+    row, own = (np.concatenate([p, *(r[k] for r in rows)]) for p, k in zip(parts, ("row", "id"), strict=True))
     order = np.lexsort((own, row))
     start = _runs(row[order], own[order])
     which = np.empty(len(row), np.int64)
     which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(row))))
-    place = np.full(len(start), -1)
-    place[which[:n]] = np.arange(n)
-    return place[which[n:]]
+    return np.split(which, np.cumsum([len(parts[0]), *(len(r["row"]) for r in rows)])[:-1])
+
+
+def _sorted_by(which: np.ndarray, r: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    order = np.argsort(which, kind="stable")
+    return which[order], {k: v[order] for k, v in r.items()}
 
 
 def _cut(spec: Repeats, buckets: int, parts: int):
+    def dealt(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        r = {k: np.concatenate([h[k] for h in held]) for k, _ in RECORD}
+        held.clear()
+        order, later = _settle(r)
+        packets = list(_settled(r, np.sort(order[later]), parts))
+        keep = np.sort(order[~later])  # in the documents' order, in which ids and hashes compress
+        r = {k: v[keep] for k, v in r.items()}
+        target = (r["anchor"] % np.uint64(buckets)).astype(np.int64)
+        r["anchor"] = r["anchor"] >> np.uint64(32)
+        return _batch([*packets, *_dealt(STRETCH, target, r)])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for data, d in _texts(batches, int(spec.cut_mb * (1 << 20))):
             r = stretches(data, d["start"], d["size"], spec)
             r["row"], r["id"] = d["row"][r["doc"]], d["id"][r["doc"]]
-            order, later = _settle(r)
-            later = order[later]
-            packets = list(_settled(r, later, parts))
-            kept = np.ones(len(order), bool)
-            kept[later] = False
-            keep = np.flatnonzero(kept)
-            r = {k: r[k][keep] for k, _ in RECORD}
-            target = (r["anchor"] % np.uint64(buckets)).astype(np.int64)
-            r["anchor"] = r["anchor"] >> np.uint64(32)
-            packets += _dealt(STRETCH, target, r)
-            if packets:
-                yield _batch(packets)
+            if len(r["doc"]):
+                held.append({k: r[k].astype(t if k != "anchor" else np.uint64) for k, t in RECORD})
+                size += sum(v.nbytes for v in held[-1].values())
+            if size > spec.deal_mb << 20:
+                yield dealt(held)
+                size = 0
+        if held:
+            yield dealt(held)
 
     return cut
 
@@ -355,7 +386,7 @@ def _meet(spec: Repeats, parts: int):
         r = _unpack(kind, _packets(table))
         r["bucket"] = np.full(len(r["row"]), target)
         order, later = _settle(r)
-        out = list(_settled(r, order[later], parts))
+        out = list(_settled(r, np.sort(order[later]), parts))
         # What is left of each content stands in the smallest document; one of its places is asked for, and all of them if there are several.
         r = {k: v[order[~later]] for k, v in r.items()}
         part = lambda name, k: (r[name].astype(np.uint64) >> np.uint64(8 * k)) & np.uint64(0xFF)
@@ -410,47 +441,81 @@ def _fetch(spec: Repeats, buckets: int, parts: int):
         wanted = {way: _unpack(way, [p for k, p in zip(kinds, packets, strict=True) if k == way]) for way in (ASK, ASK_EACH)}
         if not sum(len(w["row"]) for w in wanted.values()):
             return pa.Table.from_batches([_batch([])])
-        given = {way: np.zeros(len(w["row"]), bool) for way, w in wanted.items()}
-
-        def places(way: int, d: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            """What is asked of these documents and hasn't been given by an equal row, and where it begins in the data."""
-            which = _found(d, wanted[way])
-            ok = np.flatnonzero((which >= 0) & ~given[way])
-            given[way][ok] = True
-            return ok, d["start"][which[ok]] + wanted[way]["low"][ok]
-
-        for data, d in _documents(docs):
-            ok, at = places(ASK, d)
-            if len(ok):
-                r = {k: wanted[ASK][k][ok] for k, _ in ASKED}
-                target = r["bucket"]
-                order = np.argsort(target, kind="stable")
-                edges = np.flatnonzero(np.diff(target[order], prepend=-1))
+        packets = _packets(docs)
+        heads = _heads(packets)
+        own, *which = _known(heads, *wanted.values())
+        wanted = {way: _sorted_by(w, r) for w, (way, r) in zip(which, wanted.items(), strict=True)}
+        _, first = np.unique(own, return_index=True)  # of equal rows the first one gives what is asked
+        gives = np.zeros(len(own), bool)
+        gives[first] = True
+        stretch: list[tuple[dict[str, np.ndarray], np.ndarray]] = []
+        single: list[dict[str, np.ndarray]] = []
+
+        def deal() -> None:
+            """Pack what the documents so far give, one packet for each task that it goes to."""
+            if stretch:
+                r = {k: np.concatenate([s[k] for s, _ in stretch]) for k, _ in ASKED}
+                text = np.concatenate([t for _, t in stretch])
+                width = r["count"].astype(np.int64) + spec.length - 1
+                begin = np.cumsum(width) - width
+                order = np.argsort(r["bucket"], kind="stable")
+                edges = np.flatnonzero(np.diff(r["bucket"][order], prepend=-1))
                 for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
                     some = order[a:b]
-                    width = r["count"][some].astype(np.int64) + spec.length - 1
-                    ends = np.cumsum(width)
-                    text = data[np.arange(ends[-1]) + np.repeat(at[some] - (ends - width), width)]
-                    out.append((TEXT, int(target[some[0]]), _pack(STRETCH, {k: v[some] for k, v in r.items()}, text.tobytes())))
-            r = wanted[ASK_EACH]
-            ok, at = places(ASK_EACH, d)
+                    out.append((TEXT, int(r["bucket"][some[0]]), _pack(STRETCH, {k: v[some] for k, v in r.items()}, text[_ranges(begin[some], width[some])].tobytes())))
+            if single:
+                r = {k: np.concatenate([s[k] for s in single]) for k, _ in PLACES[SINGLE]}
+                later, keep = _single(r)
+                out.extend(_dealt_back(r, later, r["low"][later], np.ones(len(later), np.uint64), parts))
+                out.extend(_dealt(SINGLE, (r["key"][keep] % np.uint64(buckets)).astype(np.int64), {k: v[keep] for k, v in r.items()}))
+            stretch.clear()
+            single.clear()
+
+        held = done = 0
+        for packet, d in zip(packets, heads, strict=True):
+            mine, give = own[done : done + len(d["row"])], gives[done : done + len(d["row"])]
+            done += len(mine)
+            asks = {}
+            for way, (which, _) in wanted.items():
+                a, b = np.searchsorted(which, mine), np.where(give, np.searchsorted(which, mine, side="right"), 0)
+                n = np.maximum(b - a, 0)
+                asks[way] = _ranges(a, n), np.repeat(d["start"], n)
+            if not sum(len(ok) for ok, _ in asks.values()):
+                continue
+            data = _data(packet)
+            ok, start = asks[ASK]
+            if len(ok):
+                r = {k: wanted[ASK][1][k][ok] for k, _ in ASKED}
+                text = data[_ranges(start + r["low"], r["count"].astype(np.int64) + spec.length - 1)]
+                stretch.append((r, text))
+                held += len(text) + 41 * len(ok)
+            ok, start = asks[ASK_EACH]
             if len(ok):
-                count = r["count"][ok].astype(np.int64)
+                r = {k: wanted[ASK_EACH][1][k][ok] for k, _ in ASKED}
+                count = r["count"].astype(np.int64)
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                place = np.repeat(at, count) + step
+                place = np.repeat(start + r["low"], count) + step
                 words = _words(data)
                 one, two = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
                 for k in [*range(0, spec.length - 8, 8), spec.length - 8]:
                     one, two = _mixed(one * M1 + words[place + k]), _mixed(two * M3 + (words[place + k] ^ M2))
-                single = {"key": one, "key2": two, "row": np.repeat(r["row"][ok], count), "id": np.repeat(r["id"][ok], count), "low": np.repeat(r["low"][ok], count) + step}
-                later, keep = _single(single)
-                out += _dealt_back(single, later, single["low"][later], np.ones(len(later), np.uint64), parts)
-                out += _dealt(SINGLE, (one[keep] % np.uint64(buckets)).astype(np.int64), {k: v[keep] for k, v in single.items()})
+                single.append({"key": one, "key2": two, "row": np.repeat(r["row"], count), "id": np.repeat(r["id"], count), "low": np.repeat(r["low"], count) + step})
+                held += 40 * len(place)
+            if held > spec.deal_mb << 20:
+                deal()
+                held = 0
+        deal()
         return pa.Table.from_batches([_batch(out)])
 
     return fetch
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each start on, one range after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def _single(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Strings that a smaller id among these has, and the rest but for all save one of each id."""
     order = np.lexsort((s["low"], s["row"], s["id"], s["key2"], s["key"]))
@@ -548,13 +613,17 @@ def _clean(spec: Repeats):
     def clean(key: tuple, docs: pa.Table, settled: pa.Table) -> pa.Table:
         s = _unpack(SETTLED, _packets(settled))
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256", "copies")}
-        for packet, d in _documents(docs):
-            which = _found(d, s)
-            order = np.argsort(which, kind="stable")
-            low, mask = s["low"][order], s["mask"][order]
-            edges = np.searchsorted(which[order], np.arange(len(d["row"]) + 1))
-            for k, (start, size, own, copies) in enumerate(zip(*(d[x].tolist() for x in ("start", "size", "id", "copies")), strict=True)):
-                data, a, b = packet[start : start + size], edges[k], edges[k + 1]
+        packets = _packets(docs)
+        heads = _heads(packets)
+        known, which = _known(heads, s)
+        which, s = _sorted_by(which, {k: s[k] for k in ("low", "mask")})
+        low, mask, done = s["low"], s["mask"], 0
+        for packet, d in zip(packets, heads, strict=True):
+            texts, mine = _data(packet), known[done : done + len(d["row"])]
+            done += len(mine)
+            first, last = (np.searchsorted(which, mine, side=side).tolist() for side in ("left", "right"))
+            for a, b, start, size, own, copies in zip(first, last, *(d[x].tolist() for x in ("start", "size", "id", "copies")), strict=True):
+                data = texts[start : start + size]
                 gone = removed_bytes(size, low[a:b], mask[a:b], spec.length) if b > a else np.zeros(size, bool)
                 edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
                 out["id"].append(None if own == LAST else own)

@@ -127,3 +127,37 @@ def test_stretches_of_a_common_anchor_are_not_asked_for_by_chance():
     packed = suffix_dedup._batch([(kind, 0, suffix_dedup._pack(kind, r))])
     met = suffix_dedup._meet(spec, 1)((packed["kind"][0], packed["target"][0]), pa.Table.from_batches([packed])).to_pylist()
     assert sum(len(suffix_dedup._unpack(x["kind"], [x["packed"]])["row"]) for x in met) < 40
+
+def test_work_of_a_task_does_not_grow_with_packets_times_rows(monkeypatch):
+    """A task gets a packet of documents from every part of the input; what it knows of them is sorted once, not for each packet."""
+    spec, rows = Repeats(), 40
+    text = np.frombuffer(bytes(range(200)), np.uint8)
+    asked = {"row": np.arange(rows), "id": np.arange(rows), "low": np.zeros(rows), "count": np.full(rows, 3), "shift": np.zeros(rows), "bucket": np.zeros(rows)} | {k: np.zeros(rows, np.uint64) for k in ("anchor", "content", "more")}
+    settled = {"row": np.arange(rows), "id": np.arange(rows), "low": np.full(rows, 5), "mask": np.ones(rows)}
+    table = lambda packets: pa.Table.from_batches([suffix_dedup._batch(packets)])
+
+    def work(per):
+        packets = []
+        for a in range(0, rows, per):
+            n = min(per, rows - a)
+            own = np.arange(a, a + n)
+            packets.append((suffix_dedup.DOCS, 0, suffix_dedup._pack(suffix_dedup.DOCS, {"row": own, "id": own, "copies": np.ones(n), "size": np.full(n, 200)}, text.tobytes() * n)))
+        sorted_rows, lexsort, argsort = [], np.lexsort, np.argsort
+        monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+        monkeypatch.setattr(np, "argsort", lambda x, **more: sorted_rows.append(len(x)) or argsort(x, **more))
+        got = suffix_dedup._fetch(spec, 1, 1)((), table(packets), table([(suffix_dedup.ASK, 0, suffix_dedup._pack(suffix_dedup.ASK, asked))]))
+        clean = suffix_dedup._clean(spec)((), table(packets), table([(suffix_dedup.SETTLED, 0, suffix_dedup._pack(suffix_dedup.SETTLED, settled))]))
+        monkeypatch.undo()
+        assert clean.column("n_removed").to_pylist() == [50] * rows and clean.column("starts").to_pylist() == [[5]] * rows
+        return got.num_rows, sum(sorted_rows)
+
+    assert work(1) == work(rows) and work(1)[0] == 1
+
+
+def test_a_part_of_the_input_sends_few_packets(spark):
+    """Stretches of several batches go to a task together."""
+    rng = np.random.default_rng(5)
+    rows = [(i, bytes(rng.integers(97, 123, 300).tolist())) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows], "row": [i for i, _ in rows], "id": [i for i, _ in rows]})
+    out = list(suffix_dedup._cut(Repeats(cut_mb=0.001), 4, 4)(iter([batch])))
+    assert sum(b.num_rows for b in out) <= 8
