@@ -141,3 +141,20 @@ def test_folders_must_be_shared_on_a_cluster():
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(SourceError):
             scratch(Session(**{"spark.master": master}))
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "long"])
+def test_large_groups_of_a_general_join_are_dealt_out(spark, monkeypatch, kind):
+    """One key's pairs are made by several tasks, and none is lost: equal rows, null data and keys, a key of one side."""
+    for name, n in (("HEAVY", 1000), ("TASK_PAIRS", 20_000), ("BLOCKS", (8, 32))):
+        monkeypatch.setattr(joins, name, n, raising=False)
+    value = lambda i: {"string": f"v{i}", "double": -0.0 if i % 2 else 0.0, "long": i}[kind]
+    one = [(1, value(i % 250)) for i in range(300)] + [(1, None)] * 3 + [(2, value(i)) for i in range(5)] + [(None, value(1)), (3, value(1))] + [(5, value(7))] * 2000
+    two = [(1, value(i)) for i in range(400)] + [(2, value(i)) for i in range(7)] + [(None, value(1)), (4, None), (5, None)]
+    a, b = (spark.createDataFrame(rows, f"key long, data {kind}").coalesce(1) for rows in (one, two))
+    got = joins.general_join(a, b)
+    expected = sorted(repr((k, x, k, y)) for k, x in one for j, y in two if k is not None and k == j)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert got.columns == ["key1", "data1", "key2", "data2"] and sorted(repr(tuple(r)[:4]) for r in rows) == expected
+    tasks = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
+    assert max(tasks) < len(rows) / 2
