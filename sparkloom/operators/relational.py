@@ -23,13 +23,13 @@ def with_row_id(table: DataFrame, name: str = ROW_ID) -> DataFrame:
     """0-based positions in a Parquet table, files in the order of their names.
 
     A row's position in its file comes from the reader; a file's offset is a running
-    sum over one row per file.
+    sum over one row per file, which is broadcast: a join by path would bring all rows of a file to one task.
     """
     rows = table.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
     files = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(files, "_path").withColumn(name, F.col("_before") + F.col("_at")).drop("_path", "_at", "_before")
+    return rows.join(F.broadcast(files), "_path").withColumn(name, F.col("_before") + F.col("_at")).drop("_path", "_at", "_before")
 
 
 def constants(table: DataFrame, values: list) -> DataFrame:
