@@ -158,3 +158,39 @@ def test_large_groups_of_a_general_join_are_dealt_out(spark, monkeypatch, kind):
     assert got.columns == ["key1", "data1", "key2", "data2"] and sorted(repr(tuple(r)[:4]) for r in rows) == expected
     tasks = [sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}]
     assert max(tasks) < len(rows) / 2
+
+
+def test_row_ids_do_not_bring_a_file_to_one_task(spark, small):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = relational.with_row_id(tables.read_parquet(spark, small, "orders"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_are_split_into_values_once(spark, tmp_path):
+    (tmp_path / "t.tbl").write_text("1|a|1990-01-01|1|\n2|b|1990-01-01|2\n3|c|1990-01-01||\n4|d|1990-01-01|\n5|e|1990-01-01|x\n")
+    bad = tables.bad_lines(spark, str(tmp_path / "t.tbl"), SCHEMA)
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert sorted(r["line"] for r in bad.collect()) == [4, 5]  # the third ends in an empty value
+
+
+def test_pair_files_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "p.txt").write_bytes(b"200 100\r\n\r\n" + b"".join(b"%d a b%d\r\n" % (i % 7, i) for i in range(200)) + b"\n" + b"".join(b"%d c%d\n" % (i % 5, i) for i in range(99)) + b"-1 last")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        with pytest.raises(SourceError):  # a blank line between the tables counts as a place
+            tables.read_pairs(spark, str(tmp_path / "p.txt"))
+        (tmp_path / "p.txt").write_bytes((tmp_path / "p.txt").read_bytes().replace(b"\n\n0", b"\n0"))
+        one, two = tables.read_pairs(spark, str(tmp_path / "p.txt"))
+        assert one.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, one.collect())) == sorted((i % 7, f"a b{i}") for i in range(200))
+        assert sorted(map(tuple, two.collect())) == sorted([(i % 5, f"c{i}") for i in range(99)] + [(-1, "last")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
